@@ -49,3 +49,15 @@ def ascii_lower(c: Column) -> Column:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def trusted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, trusted): good and not toxic, of the labelled documents."""
+    return load(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("trusted"))
+
+
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file, which every executor has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
