@@ -19,6 +19,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, ratings))
 
 
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_file import round_trip
+
+    return round_trip(load(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -50,7 +56,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(load(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op3_line_dedup": op3_line_dedup, "op4_bpe": op4_bpe, "op6_simhash": op6_simhash, "op7_quality_rules": op7_quality_rules, "op9_url_filter": op9_url_filter}
+QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_token_file": op2_token_file, "op3_line_dedup": op3_line_dedup, "op4_bpe": op4_bpe, "op6_simhash": op6_simhash, "op7_quality_rules": op7_quality_rules, "op9_url_filter": op9_url_filter}
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
