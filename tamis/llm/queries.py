@@ -50,13 +50,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(load(spark, sf_dir, "documents"), trusted_labels(spark, sf_dir))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score_corpus
+
+    return score_corpus(load(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge
 
     return judge(load(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_token_file": op2_token_file, "op3_line_dedup": op3_line_dedup, "op4_bpe": op4_bpe, "op6_simhash": op6_simhash, "op7_quality_rules": op7_quality_rules, "op9_url_filter": op9_url_filter}
+QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_token_file": op2_token_file, "op3_line_dedup": op3_line_dedup, "op4_bpe": op4_bpe, "op6_simhash": op6_simhash, "op7_quality_rules": op7_quality_rules, "op8_lm_score": op8_lm_score, "op9_url_filter": op9_url_filter}
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
