@@ -7,7 +7,8 @@ lies under -EVIDENCE, which a few damning words in a long good text still move.
 from labelled documents that the counts have not seen: one trusted document in five, by hash, and all untrusted ones.
 Each cut is the one, on a fixed grid, that catches the most untrusted documents less CARE times the clean ones it loses.
 
-Only one pass shuffles texts, for the label of each document; the second pass scores them where they are read.
+The target is fitted on a bounded sample of trusted documents (TRUSTED, a parameter), whose ids are broadcast, so no
+text is shuffled; the raw counts, the thresholds and the verdicts cover all documents.
 
 Defined results: a null or empty text has no words, no grams and figures of zero, and fails the base rules; a document
 without a label is raw only; repeated rows are judged and counted each; without labelled documents on both sides
@@ -30,6 +31,8 @@ SYMBOLS = "#*$%&|<>"
 PSEUDO = 5.0
 EVIDENCE = 0.5
 CARE = 2.0
+#: Trusted documents that the target is fitted on at most, those of least hash; their ids are broadcast.
+TRUSTED = 100_000
 #: Steps of the grid between -4 and 1 on which the cuts lie.
 GRID = 20_000
 
@@ -73,8 +76,8 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def gram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(bucket, raw, target): raw over all docs, target over the trusted ones (doc_id) that fit the model."""
-    flagged = docs.select("doc_id", "text").join(trusted.select("doc_id", F.lit(True).alias("on")).distinct(), "doc_id", "left")
+    """(bucket, raw, target): raw over all docs, target over the trusted ones (distinct doc_id, TRUSTED at most) that fit the model."""
+    flagged = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(True).alias("on"))), "doc_id", "left")
 
     def run(batches):
         raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
@@ -104,8 +107,12 @@ def ratios(counts: DataFrame, pseudo: float = PSEUDO) -> np.ndarray:
     return np.log((target + pseudo) / (raw * (target.sum() / raw.sum()) + pseudo)).astype(np.float32)
 
 
+def row_key():
+    return F.xxhash64("doc_id", "text").alias("row")
+
+
 def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """doc_id, the base counts, llr (mean ratio) and damning (mean of what lies under -EVIDENCE)."""
+    """doc_id, row (hash of doc_id and text), the base counts, llr (mean ratio) and damning (mean of what lies under -EVIDENCE)."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)  # 1 MB: 2^18 buckets
 
     def run(batches):
@@ -116,12 +123,12 @@ def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                 buckets, first = hashed(part.column(1))
                 n = np.maximum(np.diff(first), 1)
                 base = np.array([base_counts(x) for x in part.column(1).to_pylist()], np.int64).reshape(-1, 5)
-                cols = [part.column(0), *(pa.array(base[:, i]) for i in range(5)), pa.array(row_sums(r[buckets], first) / n), pa.array(row_sums(low[buckets], first) / n)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "damning"])
+                cols = [part.column(0), part.column(2), *(pa.array(base[:, i]) for i in range(5)), pa.array(row_sums(r[buckets], first) / n), pa.array(row_sums(low[buckets], first) / n)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "damning"])
 
-    own = docs.select("doc_id", "text")
+    own = docs.select("doc_id", "text", row_key())
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double, damning double")
+    return own.mapInArrow(run, f"doc_id {kind}, row long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double, damning double")
 
 
 @dataclass(frozen=True)
@@ -159,11 +166,18 @@ def _base_failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, base counts, llr, damning, base_failed and kept of every row of docs. labels: doc_id, trusted (boolean)."""
+def judge(docs: DataFrame, labels: DataFrame, most_trusted: int = TRUSTED) -> DataFrame:
+    """doc_id, row, base counts, llr, damning, base_failed and kept of every row of docs. labels: doc_id, trusted (boolean)."""
     labels = labels.select("doc_id", "trusted").where("doc_id is not null and trusted is not null")
-    fits = labels.where(F.col("trusted") & ~held_out(F.col("doc_id")))
+    fits = labels.where(F.col("trusted") & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
+    fits = fits.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_trusted)
     scored = table(score(docs, ratios(gram_counts(docs, fits))))
     cut = cuts(scored, labels)
     fine = (F.col("llr") >= F.lit(cut.llr)) & (F.col("damning") >= F.lit(cut.damning))
     return scored.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & fine)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are kept."""
+    kept = judge(docs, labels).where("kept").select("row").distinct()
+    return docs.withColumn("_row", row_key()).join(kept, F.col("_row") == kept["row"], "left_semi").drop("_row")
