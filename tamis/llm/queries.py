@@ -38,6 +38,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(load(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_edited
+
+    return count_edited(load(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -47,7 +53,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
-    return judge(load(spark, sf_dir, "documents"), trusted_labels(spark, sf_dir))
+    return judge(load(spark, sf_dir, "documents"), trusted_labels(spark, sf_dir)).drop("row")
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,13 +62,37 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(load(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge
 
     return judge(load(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_token_file": op2_token_file, "op3_line_dedup": op3_line_dedup, "op4_bpe": op4_bpe, "op6_simhash": op6_simhash, "op7_quality_rules": op7_quality_rules, "op8_lm_score": op8_lm_score, "op9_url_filter": op9_url_filter}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_token_file": op2_token_file,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_bpe": op4_bpe,
+    "op5_token_counts": op5_token_counts,
+    "op6_simhash": op6_simhash,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_lm_score": op8_lm_score,
+    "op9_url_filter": op9_url_filter,
+    "op10_decontaminate": op10_decontaminate,
+    "pipeline": pipeline,
+}
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
