@@ -1 +1 @@
-
+"""Compositions of operators, and what long plans need."""
