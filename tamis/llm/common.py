@@ -43,6 +43,20 @@ def drop_table(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_sample(ids: DataFrame, column: str, most: int, buckets: int = 1 << 14) -> DataFrame:
+    """The rows of ids (distinct values of column) whose hash lies in the first buckets that hold `most` rows together.
+
+    What comes to the driver is one count per bucket, whatever the size of ids."""
+    bucket = F.pmod(F.xxhash64(column), F.lit(buckets))
+    counts = {r.b: r.n for r in ids.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}
+    total = 0
+    for b in range(buckets):
+        total += counts.get(b, 0)
+        if total > most:
+            return ids.where(bucket < b)
+    return ids
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 

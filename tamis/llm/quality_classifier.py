@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
 from .grams import BITS, hashed, pieces, row_sums
 
 SAMPLE = 6000
@@ -92,7 +93,7 @@ def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, sample_grams: int = SAMPLE_GRAMS) -> Model:
     """ratings: doc_id, grade (int). The `sample` ratings of least hash meet their texts by a broadcast of that many ids."""
     rated = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
-    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = bounded_sample(rated, "doc_id", sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
 
     def run(batches):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, table
+from .common import SPACE, bounded_sample, table
 from .grams import BITS, hashed, pieces, row_sums
 
 SYMBOLS = "#*$%&|<>"
@@ -170,7 +170,7 @@ def judge(docs: DataFrame, labels: DataFrame, most_trusted: int = TRUSTED) -> Da
     """doc_id, row, base counts, llr, damning, base_failed and kept of every row of docs. labels: doc_id, trusted (boolean)."""
     labels = labels.select("doc_id", "trusted").where("doc_id is not null and trusted is not null")
     fits = labels.where(F.col("trusted") & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
-    fits = fits.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_trusted)
+    fits = bounded_sample(fits, "doc_id", most_trusted)
     scored = table(score(docs, ratios(gram_counts(docs, fits))))
     cut = cuts(scored, labels)
     fine = (F.col("llr") >= F.lit(cut.llr)) & (F.col("damning") >= F.lit(cut.damning))
