@@ -75,7 +75,7 @@ def bootstrap_ci(scores: DataFrame, by: list[str], value: str, order: str = "que
     """by..., mean, low, high: the percentile bootstrap of each group's mean. A group is the queries of one arm."""
     kinds = ", ".join(f"{c} {scores.schema[c].dataType.simpleString()}" for c in by)
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
         v = rows.sort_values(order)[value].to_numpy(float)
         return pd.DataFrame([(*key, v.mean(), *bootstrap(v, resamples, seed))])
 
