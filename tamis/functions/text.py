@@ -48,17 +48,6 @@ def typographic_artifacts(t: Column) -> Column:
     return F.regexp_count(t, F.lit(r"(?U)\s{2,}")) + F.regexp_count(t, F.lit(r"(?U)\s[.!?,]"))
 
 
-def char_shingles(t: Column, k: int = 4) -> Column:
-    """The set of k-character shingles of the lower-cased normal form; a shorter text is its own; an empty one has none."""
-    n = F.char_length(t)
-    grams = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(t, i, k))
-    return F.when(n >= k, F.array_distinct(grams)).when(n > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
-
-
-def shingle_text(t: Column) -> Column:
-    return normal_form(F.lower(t))
-
-
 def search_tokens(t: Column) -> Column:
     """Lower-case runs of ASCII letters, digits and Hangul syllables; long ones with Hangul also give their 2-grams."""
     tokens = F.regexp_extract_all(F.lower(t), F.lit("([0-9a-zA-Z가-힣]+)"), 1)

@@ -44,11 +44,31 @@ def bands_for(jaccard: float, permutations: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
+def shingle_hashes(text: str | None, k: int) -> np.ndarray:
+    """64-bit hashes of the distinct k-character shingles of the lower-cased text with single blanks; a shorter text is
+    its own shingle; an empty one has none. Linear in the text."""
+    own = np.frombuffer(" ".join((text or "").lower().split()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if not len(own):
+        return np.zeros(0, np.int64)
+    n = max(1, len(own) - k + 1)
+    h = np.zeros(n, np.uint64)
+    for i in range(min(k, len(own))):
+        h = (h ^ own[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, k: int = DEFAULTS.shingle) -> DataFrame:
-    """doc_id, shingles: 64-bit hashes of the distinct k-character shingles."""
-    t = T.shingle_text(T.text_of("text"))
-    own = docs.select("doc_id", t.alias("_t"))
-    return own.select("doc_id", F.transform(T.char_shingles(F.col("_t"), k), lambda x: F.xxhash64(x)).alias("shingles"))
+    """doc_id, shingles: see shingle_hashes."""
+
+    def run(batches):
+        for b in batches:
+            made = [shingle_hashes(x.as_py(), k) for x in b.column(1)]
+            ends = np.r_[0, np.cumsum([len(x) for x in made])].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, np.concatenate([*made, np.zeros(0, np.int64)]))], names=["doc_id", "shingles"])
+
+    own = docs.select("doc_id", "text")
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, shingles array<long>")
 
 
 def band_keys(sets: DataFrame, s: Settings = DEFAULTS) -> DataFrame:

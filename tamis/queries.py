@@ -138,8 +138,7 @@ def removal_breakdown(spark, d):
 
 
 def char_shingle_counts(spark, d):
-    t = T.shingle_text(T.text_of("text"))
-    return _docs(spark, d).select("doc_id", t.alias("t")).select("doc_id", F.size(T.char_shingles(F.col("t"))).alias("shingles"))
+    return dedup.shingle_sets(_docs(spark, d)).select("doc_id", F.size("shingles").alias("shingles"))
 
 
 def jaccard_pairs(spark, d):

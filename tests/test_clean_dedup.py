@@ -77,6 +77,12 @@ def test_minhash_finds_near_copies(spark):
     assert dedup.bands_for(0.5, 128) == (25, 5)
 
 
+def test_shingles():
+    n = lambda t: len(dedup.shingle_hashes(t, 4))
+    assert [n(x) for x in ("ABcd  e", "ab", "", None, "aaaaaaaa", "가나다라마", "a" * 100_000)] == [3, 1, 0, 0, 1, 2, 1]
+    assert set(dedup.shingle_hashes("abcd", 4)) < set(dedup.shingle_hashes("xABCD", 4)) and dedup.shingle_hashes("ab", 4)[0] != dedup.shingle_hashes("ba", 4)[0]
+
+
 def test_providers():
     p = embed.HashedNgrams(64)
     assert np.linalg.norm(p.vector("")) == 0 and abs(np.linalg.norm(p.vector("some text")) - 1) < 1e-9 and abs(np.linalg.norm(p.vector("ab")) - 1) < 1e-9

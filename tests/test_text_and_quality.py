@@ -55,8 +55,6 @@ def test_text_functions(spark):
     t = F.col("t")
     assert one(T.normal_form(t), "\t a  b\n\nc ") == "a b c"
     assert one(T.typographic_artifacts(t), "a  b . c ,d") == 3
-    assert one(T.char_shingles(T.shingle_text(t)), "ABcd  e") == ["abcd", "bcd ", "cd e"]
-    assert one(T.char_shingles(t), "ab") == ["ab"] and one(T.char_shingles(t), "") == []
     assert one(T.search_tokens(t), "Ab-1 재부팅을 가나 ab") == ["ab", "1", "재부팅을", "재부", "부팅", "팅을", "가나", "ab"]
     assert one(T.percent_change(F.lit(0.0), F.lit(2.0)), "") == 100.0 and one(T.percent_change(F.lit(2.0), F.lit(1.0)), "") == -50.0
     assert one(T.with_prefix(t, "query", "e5-small"), "q") == "query: q" and one(T.with_prefix(t, "query"), "q") == "q"
