@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Every text is cut into blocks of HALF words; a passage is two neighbouring blocks. Blocks are TF-IDF vectors over 2^14
-hashed words (document frequencies over all blocks). A randomised SVD finds the leading right singular vectors: each task
+hashed words (document frequencies over all blocks). A randomised SVD finds the leading right singular vectors, on a
+bounded sample of texts (FIT_BLOCKS, a parameter; the search itself covers every block): each task
 multiplies its blocks with a random matrix and back (A'AX), the sums meet in one aggregate of fixed size, and one more
 small decomposition gives vectors and singular values (one pass: A'A is about Y (X'Y)^-1 Y'). Passages and benchmark
 items are projected on them, weighted by the inverse singular values, so that a frequent word or a language does not
@@ -33,7 +34,9 @@ from .common import LOWER_BYTES, table
 TERMS, RANK, HALF = 1 << 14, 64, 24
 COSINE, LEAK, PARAPHRASE, ANSWER = 0.2, 0.7, 0.6, 6
 #: A word in more than this share of the items says little of any of them.
-COMMON = 0.05
+COMMON = 0.01
+#: Blocks that the singular vectors are fitted on, about: the texts of least hash. All blocks are searched.
+FIT_BLOCKS = 400_000
 ITEMS, GATHER, AT_ONCE = 1024, 8, 1 << 19
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
@@ -93,7 +96,8 @@ def document_frequencies(hashed: DataFrame) -> tuple[np.ndarray, int]:
         for _, texts in _chunks(batches, 0):
             b = Blocks(texts)
             n += len(b.text)
-            df += np.bincount(np.unique(b.block.astype(np.int64) * TERMS + b.term) % TERMS, minlength=TERMS)
+            kind = np.int32 if len(b.text) * TERMS < 1 << 31 else np.int64
+            df += np.bincount(np.unique(b.block.astype(kind) * kind(TERMS) + b.term) % TERMS, minlength=TERMS)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[n, df[at]])], names=["term", "n"])
 
@@ -192,14 +196,14 @@ class Telling:
         first, count = self.first[at[hit]], self.first[at[hit] + 1] - self.first[at[hit]]
         end = np.cumsum(count)
         part = self.parts[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(first - end + count, count)]
-        block, word = np.repeat(b.block[hit], count), np.repeat(at[hit], count)
-        # a passage has its own block's words and the next one's
+        block = np.repeat(b.block[hit], count)
+        # a passage has its own block's words and the next one's; a word that it repeats counts again, which lets more pass
         follows = np.flatnonzero((block > 0) & (b.text[block] == b.text[block - 1]))
-        block, part, word = np.r_[block, block[follows] - 1], np.r_[part, part[follows]], np.r_[word, word[follows]]
-        once = np.unique((block * n + part) * len(self.words) + word) // len(self.words)
-        pair, have = np.unique(once, return_counts=True)
+        block, part = np.r_[block, block[follows] - 1], np.r_[part, part[follows]]
+        on = like[block, part]
+        pair, have = np.unique(block[on] * n + part[on], return_counts=True)
         block, part = pair // n, pair % n
-        on = like[block, part] & (have >= self.needs[part] * share)
+        on = have >= self.needs[part] * share
         bare = np.flatnonzero(self.needs == 0)  # parts without a telling word
         more, which = np.nonzero(like[:, bare])
         return np.r_[block[on], more], np.r_[part[on], bare[which]]
@@ -247,13 +251,15 @@ def search(hashed: DataFrame, vectors: np.ndarray, items: list[tuple], cosine: f
     return hashed.select("doc_id", "words").mapInArrow(run, f"doc_id {id_kind}, item_id {item_kind}, cosine double, common int, item_words int")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = None, cosine: float = COSINE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = None, cosine: float = COSINE, fit_blocks: int = FIT_BLOCKS) -> DataFrame:
     """(doc_id, item_id, cosine, common, item_words): each document that an item has leaked into."""
     spark = docs.sparkSession
     hashed = table(hashed_words(docs))
     df, n = document_frequencies(hashed)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(1e-3)
-    vectors = right_vectors(hashed, idf)
+    share = 1_000_000 * fit_blocks // max(1, n)
+    sample = hashed if share >= 1_000_000 else hashed.where(F.pmod(F.xxhash64("words"), F.lit(1_000_000)) < share)
+    vectors = right_vectors(sample, idf)
     out, block = None, []
 
     def flush():
