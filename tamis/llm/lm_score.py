@@ -37,7 +37,7 @@ NOTHING = CLASSES * LEAVES
 KNOWN = 200_000
 #: Rows of features: three single tokens with a row each, the pair before hashed; for leaves, two hashed singles.
 ONE, PAIR, LEAF_ROWS = NOTHING + 1, 4096, 256
-BATCH, RATE = 2048, 0.3
+BATCH, RATE = 4096, 0.3
 #: Input partitions that one training task takes.
 GATHER = 4
 END = None
@@ -104,12 +104,20 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, known: int = KNOWN) -> Vocabulary:
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    # the greatest steps of log counts that hold `known` words together: the list is bounded before anything is sent
+    step = F.floor(F.log("c") * 60).cast("int")
+    least, held = 1 << 30, 0
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        held += r.n
+        if held > known:
+            break
+        least = r.s
+    top = counts.where((step >= least) | F.col("word").isNull()).toArrow().to_pydict()
     # the end first: it always has a leaf; then by count and, for equal counts, the word itself
-    top = counts.orderBy(F.col("word").isNotNull(), F.desc("c"), "word").limit(known).toPandas() if totals.v else None
-    words = [END] + [bytes(w) for w in top["word"] if w is not None] if totals.v else [END]
-    c = np.r_[0, top["c"].to_numpy()[1:] if top is not None and top["word"].isna().any() else np.zeros(0)].astype(np.int64)
-    if top is not None and top["word"].isna().any():
-        c[0] = int(top["c"][top["word"].isna()].iloc[0])
+    best = sorted(((w is not END, -n, w or b"") for w, n in zip(top["word"], top["c"])))
+    if not best or best[0][0]:
+        best.insert(0, (False, 0, b""))
+    words, c = [END] + [w for _, _, w in best[1:]], np.array([-n for _, n, _ in best], np.int64)
     mass = np.zeros(NOTHING)
     own = min(len(words), OWN)
     mass[:own] = c[:own] + 1
@@ -224,7 +232,7 @@ def _descend(weights, squares, rows, gradient, rate):
     """AdaGrad with one step size per row: rows (n x k) of weights take the gradient (n x width) of their tokens."""
     k = rows.shape[1]
     flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat.astype(np.int16), kind="stable")  # fewer than 2^15 rows: a radix sort
     sorted_ = flat[order]
     starts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
     used = sorted_[starts]
