@@ -22,6 +22,7 @@ import pickle
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ BATCH, RATE = 4096, 0.3
 GATHER = 4
 END = None
 REMEMBERED = 400_000
+#: Occurrences of a row in a batch that are added one rank at a time; those beyond, of few rows, by segment.
+RANKS = 8
 
 
 def held_out(doc_id):
@@ -129,6 +132,14 @@ def vocabulary(counts: DataFrame, known: int = KNOWN) -> Vocabulary:
     return Vocabulary(int(totals.n), int(totals.v), words, c, mass)
 
 
+class _Numbers(dict):
+    """Numbers words in the order of their first lookup."""
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+
 class Reader:
     """Turns texts into leaf sequences, with what is needed of each token's count."""
 
@@ -137,7 +148,7 @@ class Reader:
         self.forget()
 
     def forget(self):
-        self.number: dict = {}
+        self.number = _Numbers()
         self.leaf, self.log, self.rank = (np.zeros(0, t) for t in (np.int32, np.float64, np.int64))
 
     def tokens(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -145,27 +156,24 @@ class Reader:
         if len(self.number) > REMEMBERED:
             self.forget()
         number = self.number
-        if not number:
-            number[END] = 0
+        number[END]  # the first lookup: 0
         split = [words_of(t) for t in texts]
         for ws in split:
             ws.append(END)
-        for w in set().union(*split) - number.keys():
-            number[w] = len(number)
-        new = list(number)[len(self.leaf) :]
-        if new:
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        flat = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int32, int(sizes.sum()))
+        if len(number) > len(self.leaf):
+            new = list(islice(number, len(self.leaf), None))
             ranks = self.v.ranks()
             rank = np.fromiter((ranks.get(w, -1) for w in new), np.int64, len(new))
             leaf = np.fromiter((r if 0 <= r < OWN else rare_leaf(w) for r, w in zip(rank.tolist(), new)), np.int32, len(new))
             log = np.where(rank >= 0, self.logs[rank], 0.0)
             self.leaf, self.rank, self.log = np.r_[self.leaf, leaf], np.r_[self.rank, rank], np.r_[self.log, log]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        flat = np.fromiter((number[w] for ws in split for w in ws), np.int32, int(sizes.sum()))
         return flat, np.r_[0, np.cumsum(sizes)]
 
 
 def features(leaf: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the class model (tokens x 4) and of the leaf model (tokens x 2)."""
+    """Rows of the class model (4 x tokens) and of the leaf model (2 x tokens)."""
     before = []
     place = np.arange(len(leaf)) - np.repeat(first[:-1], np.diff(first))
     for k in (1, 2, 3):
@@ -174,8 +182,8 @@ def features(leaf: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
         x[place < k] = NOTHING
         before.append(x)
     a, b, c = before
-    pair = 3 * ONE + ((a * 1_000_003 + b) * 2_654_435_761 >> 16) % PAIR
-    return np.stack([a, ONE + b, 2 * ONE + c, pair], 1), np.stack([a * 40_503 % LEAF_ROWS, LEAF_ROWS + b * 40_503 % LEAF_ROWS], 1)
+    pair = 3 * ONE + ((a * 1_000_003 + b) * 2_654_435_761 >> 16 & PAIR - 1)
+    return np.stack([a, ONE + b, 2 * ONE + c, pair]), np.stack([a * 40_503 & LEAF_ROWS - 1, LEAF_ROWS + (b * 40_503 & LEAF_ROWS - 1)])
 
 
 @dataclass
@@ -195,12 +203,13 @@ class Model:
         )
 
     def logits(self, f, g, kind):
-        z = self.by_class[f[:, 0]] + self.class_bias
-        for k in range(1, f.shape[1]):
-            z += self.by_class[f[:, k]]
-        y = self.by_leaf[g[:, 0], kind] + self.leaf_bias[kind]
-        for k in range(1, g.shape[1]):
-            y += self.by_leaf[g[:, k], kind]
+        z = self.by_class.take(f[0], 0)
+        z += self.class_bias
+        for rows in f[1:]:
+            z += self.by_class.take(rows, 0)
+        y, by_leaf = self.leaf_bias.take(kind, 0), self.by_leaf.reshape(-1, LEAVES)
+        for rows in g:
+            y += by_leaf.take(rows * CLASSES + kind, 0)
         return z, y
 
     def log_prob(self, leaf: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -209,36 +218,58 @@ class Model:
         out = np.empty(len(leaf))
         for at in range(0, len(leaf), 1 << 14):
             s = slice(at, at + (1 << 14))
-            kind, k = leaf[s] // LEAVES, np.arange(len(leaf[s]))
-            z, y = self.logits(f[s], g[s], kind)
+            kind, k = (leaf[s] // LEAVES).astype(np.int64), np.arange(len(leaf[s]))
+            z, y = self.logits(f[:, s], g[:, s], kind)
             out[s] = _log_softmax_at(z, k, kind) + _log_softmax_at(y, k, leaf[s] % LEAVES)
         return out
 
 
 def _log_softmax_at(z, row, col):
-    z = z - z.max(1, keepdims=True)
-    return z[row, col].astype(np.float64) - np.log(np.exp(z).sum(1, dtype=np.float64))
+    z -= z.max(1, keepdims=True)
+    own = z[row, col].astype(np.float64)
+    np.exp(z, out=z)
+    return own - np.log((z @ np.ones(z.shape[1], z.dtype)).astype(np.float64))
 
 
 def _softmax_loss(z, row, col):
     z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     z[row, col] -= 1
     return z
 
 
+def _sums(gradient, token, starts):
+    """The sums of gradient[token] by segment, and the segments' order: longest first.
+
+    Most segments are short, so they are added one rank of their members at a time."""
+    size = np.diff(np.r_[starts, len(token)])
+    by = np.argsort((-size).astype(np.int16), kind="stable")
+    at, size = starts[by], size[by]
+    out = gradient.take(token[at], 0)
+    longer = np.searchsorted(-size, -np.arange(1, RANKS + 1), "left")  # segments of more than 1, 2, ... members
+    for j, m in enumerate(longer[:-1].tolist(), 1):
+        if m:
+            out[:m] += gradient.take(token[at[:m] + j], 0)
+    if m := int(longer[-1]):
+        left = size[:m] - RANKS
+        first = np.cumsum(left) - left
+        place = np.repeat(at[:m] + RANKS - first, left) + np.arange(int(left.sum()))
+        out[:m] += np.add.reduceat(gradient.take(token[place], 0), first, axis=0)
+    return out, by
+
+
 def _descend(weights, squares, rows, gradient, rate):
-    """AdaGrad with one step size per row: rows (n x k) of weights take the gradient (n x width) of their tokens."""
-    k = rows.shape[1]
+    """AdaGrad with one step size per row: rows (k x n) of weights take the gradient (n x width) of their tokens."""
     flat = rows.ravel()
     order = np.argsort(flat.astype(np.int16), kind="stable")  # fewer than 2^15 rows: a radix sort
     sorted_ = flat[order]
     starts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-    used = sorted_[starts]
-    g = np.add.reduceat(gradient[order // k], starts, axis=0)
-    squares[used] += (g * g).mean(1)
-    weights[used] -= rate * g / np.sqrt(squares[used])[:, None]
+    g, by = _sums(gradient, order % len(gradient), starts)
+    used = sorted_[starts[by]]
+    squares[used] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+    g *= (rate / np.sqrt(squares[used]))[:, None]
+    weights[used] -= g
 
 
 def train_on(model: Model, leaf: np.ndarray, first: np.ndarray, squares: tuple[np.ndarray, np.ndarray], rate: float = RATE) -> None:
@@ -247,9 +278,9 @@ def train_on(model: Model, leaf: np.ndarray, first: np.ndarray, squares: tuple[n
     for at in range(0, len(leaf), BATCH):
         s = slice(at, at + BATCH)
         kind, k = (leaf[s] // LEAVES).astype(np.int64), np.arange(len(leaf[s]))
-        z, y = model.logits(f[s], g[s], kind)
-        _descend(model.by_class, squares[0], f[s], _softmax_loss(z, k, kind), rate)
-        _descend(flat_leaf, squares[1], g[s] * CLASSES + kind[:, None], _softmax_loss(y, k, leaf[s] % LEAVES), rate)
+        z, y = model.logits(f[:, s], g[:, s], kind)
+        _descend(model.by_class, squares[0], f[:, s], _softmax_loss(z, k, kind), rate)
+        _descend(flat_leaf, squares[1], g[:, s] * CLASSES + kind, _softmax_loss(y, k, leaf[s] % LEAVES), rate)
 
 
 def train(texts: DataFrame, v: Vocabulary, gather: int = GATHER) -> Model:
