@@ -1,9 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Every text is cut into blocks of HALF words; a passage is two neighbouring blocks. Blocks are TF-IDF vectors over 2^14
-hashed words (document frequencies over all blocks). A randomised SVD finds the leading right singular vectors, on a
-bounded sample of texts (FIT_BLOCKS, a parameter; the search itself covers every block): each task
-multiplies its blocks with a random matrix and back (A'AX), the sums meet in one aggregate of fixed size, and one more
+hashed words (document frequencies over all blocks). A randomised SVD of all blocks finds the leading right singular
+vectors: each task multiplies its blocks with a random matrix and back (A'AX), the sums meet in one aggregate of fixed size, and one more
 small decomposition gives vectors and singular values (one pass: A'A is about Y (X'Y)^-1 Y'). Passages and benchmark
 items are projected on them, weighted by the inverse singular values, so that a frequent word or a language does not
 make two texts alike. Cosines of all passages with all items, in blocks of ITEMS items, give candidates.
@@ -35,9 +34,9 @@ TERMS, RANK, HALF = 1 << 14, 64, 24
 COSINE, LEAK, PARAPHRASE, ANSWER = 0.2, 0.7, 0.6, 6
 #: A word in more than this share of the items says little of any of them.
 COMMON = 0.01
-#: Blocks that the singular vectors are fitted on, about: the texts of least hash. All blocks are searched.
-FIT_BLOCKS = 400_000
 ITEMS, GATHER, AT_ONCE = 1024, 8, 1 << 19
+#: Words whose rows are gathered at once, few enough for the processor's cache.
+CACHED = 1 << 12
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
@@ -72,8 +71,28 @@ class Blocks:
         self.block = np.repeat(np.arange(len(self.text)), np.diff(np.r_[self.starts, len(self.word)]))
         self.term = (self.word & np.uint32(TERMS - 1)).astype(np.int32)
 
+    def slots(self, kind=np.uint16) -> np.ndarray:
+        """(blocks, HALF) terms; TERMS where a block has no more words."""
+        out = np.full((len(self.text), HALF), TERMS, kind)
+        out[self.block, np.arange(len(self.word)) - self.starts[self.block]] = self.term
+        return out
+
     def sums(self, rows: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(rows, self.starts, axis=0) if len(self.starts) else rows[:0]
+        """(blocks, width): the sums over each block's words of the rows (a row for each term)."""
+        full = np.concatenate([rows, np.zeros((1, rows.shape[1]), rows.dtype)])
+        out, slots, step = np.empty((len(self.text), rows.shape[1]), rows.dtype), self.slots(), CACHED // HALF
+        for at in range(0, len(slots), step):
+            out[at : at + step] = full[slots[at : at + step].T].sum(0)
+        return out
+
+    def add_to_terms(self, rows: np.ndarray, total: np.ndarray) -> None:
+        """Adds to each term of total the rows (a row for each block) of its words."""
+        order = np.argsort(self.term.astype(np.uint16), kind="stable")
+        term, block = self.term[order], self.block[order]
+        for at in range(0, len(term), CACHED):
+            own = term[at : at + CACHED]
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            total[own[starts]] += np.add.reduceat(rows[block[at : at + CACHED]], starts, axis=0)
 
 
 def _chunks(batches, column: int, most: int = AT_ONCE * 4):
@@ -96,8 +115,9 @@ def document_frequencies(hashed: DataFrame) -> tuple[np.ndarray, int]:
         for _, texts in _chunks(batches, 0):
             b = Blocks(texts)
             n += len(b.text)
-            kind = np.int32 if len(b.text) * TERMS < 1 << 31 else np.int64
-            df += np.bincount(np.unique(b.block.astype(kind) * kind(TERMS) + b.term) % TERMS, minlength=TERMS)
+            slots = np.sort(b.slots(), axis=1)
+            slots[:, 1:][slots[:, 1:] == slots[:, :-1]] = TERMS  # a block counts once
+            df += np.bincount(slots.ravel(), minlength=TERMS + 1)[:TERMS]
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[n, df[at]])], names=["term", "n"])
 
@@ -122,12 +142,8 @@ def right_vectors(hashed: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.nd
             b = Blocks(texts)
             if not len(b.word):
                 continue
-            scale = 1 / np.maximum(b.sums(weight[b.term] ** 2), 1e-9)  # of the squared norms: once for A, once for A'
-            rows = b.sums(weighted[b.term]) * scale[:, None]
-            order = np.argsort(b.term, kind="stable")
-            term = b.term[order]
-            starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-            total[term[starts]] += np.add.reduceat(rows[b.block[order]], starts, axis=0)
+            scale = 1 / np.maximum(np.add.reduceat(weight[b.term] ** 2, b.starts), 1e-9)  # of the squared norms: once for A, once for A'
+            b.add_to_terms(b.sums(weighted) * scale[:, None], total)
         at = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(total[at, i]) for i in range(rank))], names=["term", *names])
 
@@ -225,7 +241,7 @@ def search(hashed: DataFrame, vectors: np.ndarray, items: list[tuple], cosine: f
             b = Blocks(held)
             if not len(b.word) or not parts:
                 continue
-            one = b.sums(v[b.term])
+            one = b.sums(v)
             two = one.copy()
             two[:-1] += np.where((b.text[1:] == b.text[:-1])[:, None], one[1:], 0)
             best = np.maximum(normed(one) @ rows.T, normed(two) @ rows.T)
@@ -251,15 +267,13 @@ def search(hashed: DataFrame, vectors: np.ndarray, items: list[tuple], cosine: f
     return hashed.select("doc_id", "words").mapInArrow(run, f"doc_id {id_kind}, item_id {item_kind}, cosine double, common int, item_words int")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = None, cosine: float = COSINE, fit_blocks: int = FIT_BLOCKS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = None, cosine: float = COSINE) -> DataFrame:
     """(doc_id, item_id, cosine, common, item_words): each document that an item has leaked into."""
     spark = docs.sparkSession
     hashed = table(hashed_words(docs))
     df, n = document_frequencies(hashed)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(1e-3)
-    share = 1_000_000 * fit_blocks // max(1, n)
-    sample = hashed if share >= 1_000_000 else hashed.where(F.pmod(F.xxhash64("words"), F.lit(1_000_000)) < share)
-    vectors = right_vectors(sample, idf)
+    vectors = right_vectors(hashed, idf)
     out, block = None, []
 
     def flush():

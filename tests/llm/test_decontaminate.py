@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from helpers import DOCS
 from tamis.llm import decontaminate as d
 
@@ -62,3 +64,31 @@ def test_empty_tables(spark):
     assert d.leaks(docs, items).count() == 0
     full = spark.createDataFrame([(1, "some words here")], DOCS)
     assert d.leaks(full, items).count() == 0 and d.leaks(docs, spark.createDataFrame([(1, "a b")], ITEMS)).count() == 0
+
+
+def test_vectors_are_fitted_on_every_block_of_a_large_input(spark, monkeypatch):
+    seen = []
+    real = d.right_vectors
+
+    def spy(hashed, *rest):
+        seen.append(hashed.count())
+        return real(hashed, *rest)
+
+    monkeypatch.setattr(d, "right_vectors", spy)
+    # 420,000 blocks or more, over the bound that the fit once had; the texts differ by their first word
+    docs = spark.range(4200).selectExpr("id AS doc_id", "concat('first', id, ' ', repeat('some words of a text ', 480)) AS text")
+    d.leaks(docs, spark.createDataFrame([(1, "some item of the benchmark")], ITEMS))
+    assert seen == [4200]
+
+
+def test_sums_by_block_and_by_term_match_the_plain_rule():
+    rng = np.random.default_rng(3)
+    b = d.Blocks([d.words(" ".join(f"w{k}" for k in rng.zipf(1.3, n))).astype("<u4").tobytes() for n in (0, 1, 24, 25, 700, 9000)])
+    rows = rng.standard_normal((d.TERMS, 3))
+    want = np.zeros((len(b.text), 3))
+    np.add.at(want, b.block, rows[b.term])
+    assert np.allclose(b.sums(rows), want)
+    total, plain = np.zeros((d.TERMS, 3)), np.zeros((d.TERMS, 3))
+    b.add_to_terms(want, total)
+    np.add.at(plain, b.term, want[b.block])
+    assert np.allclose(total, plain)
