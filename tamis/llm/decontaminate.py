@@ -7,7 +7,8 @@ small decomposition gives vectors and singular values (one pass: A'A is about Y
 items are projected on them, weighted by the inverse singular values, so that a frequent word or a language does not
 make two texts alike. Cosines of all passages with all items, in blocks of ITEMS items, give candidates.
 
-A candidate is checked on the words: the longest common subsequence of the item and the passage with its surroundings,
+A candidate goes on if the passage with its surroundings has as many of the item's rarest words as a leak needs at
+least (Telling; a true bound, which drops no leak). It is then checked on the words: the longest common subsequence of the item and the passage with its surroundings,
 by bit-parallel dynamic programming. It is a leak if LEAK of the item's words are in it, or if PARAPHRASE are and the
 answer (the item's answer column, else its last ANSWER words) is there whole and in order.
 
@@ -32,8 +33,8 @@ from .common import LOWER_BYTES, table
 
 TERMS, RANK, HALF = 1 << 14, 64, 24
 COSINE, LEAK, PARAPHRASE, ANSWER = 0.2, 0.7, 0.6, 6
-#: A word in more than this share of the items says little of any of them.
-COMMON = 0.01
+#: The share of an item's words, the rarest, that are counted before a candidate's subsequence is; any value drops no leak.
+TELLING = 0.6
 ITEMS, GATHER, AT_ONCE = 1024, 8, 1 << 19
 #: Words whose rows are gathered at once, few enough for the processor's cache.
 CACHED = 1 << 12
@@ -191,53 +192,69 @@ def item_windows(items: list[np.ndarray]) -> list[tuple[int, int, int]]:
 
 
 class Telling:
-    """The parts of items by their telling words: those in few of the parts."""
-
-    def __init__(self, parts: list[np.ndarray]):
-        sets = [np.unique(w) for w in parts]
-        word = np.concatenate([*sets, np.zeros(0, np.uint32)])
-        part = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        self.words, number, times = np.unique(word, return_inverse=True, return_counts=True)
-        on = (times <= max(1, COMMON * len(parts)))[number]
-        order = np.argsort(number[on], kind="stable")
-        self.parts = part[on][order]
-        self.first = np.searchsorted(number[on][order], np.arange(len(self.words) + 1))
-        self.needs = np.bincount(part[on], minlength=len(parts))
-
-    def enough(self, b: Blocks, like: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-        """(block, part) of the passages that like allows and that have `share` of the part's telling words."""
-        n = like.shape[1]
-        at = np.minimum(np.searchsorted(self.words, b.word), len(self.words) - 1)
-        hit = np.flatnonzero((self.words[at] == b.word) & (self.first[at + 1] > self.first[at]))
-        first, count = self.first[at[hit]], self.first[at[hit] + 1] - self.first[at[hit]]
+    """The items by their telling words, and the least number of them that a subsequence of `share` of an item holds.
+
+    An item's telling words are its rarest, about TELLING of its length. A subsequence of `share` of the item leaves out
+    1 - share of its words, so all telling words but that many are in it, and in any region of a text that holds it."""
+
+    def __init__(self, items: list[np.ndarray], rarity: np.ndarray, share: float):
+        words, owners = [], []
+        self.needs = np.zeros(len(items), np.int64)
+        for i, w in enumerate(items):
+            own, times = np.unique(w, return_counts=True)
+            order = np.argsort(-rarity[own & np.uint32(TERMS - 1)], kind="stable")
+            size = np.cumsum(times[order])
+            n = int(np.searchsorted(size, TELLING * len(w))) + 1
+            words.append(own[order[:n]])
+            owners.append(np.full(len(words[-1]), i))
+            # the words outside of the telling ones may all be in the subsequence
+            self.needs[i] = int(np.ceil(share * len(w) - 1e-9)) - (len(w) - int(size[min(n, len(size)) - 1]))
+        number = np.concatenate([*words, np.zeros(0, np.uint32)])
+        self.words, number = np.unique(number, return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        self.items = np.concatenate([*owners, np.zeros(0, np.int64)])[order].astype(np.int64)
+        self.first = np.searchsorted(number[order], np.arange(len(self.words) + 1))
+        self.maybe = np.zeros(TERMS, bool)
+        self.maybe[self.words & np.uint32(TERMS - 1)] = True
+        self.reach = np.array([-(-len(w) // HALF) for w in items], np.int64)
+
+    def enough(self, b: Blocks) -> np.ndarray:
+        """(blocks, items): whether a passage and as many words on each side as the item has can hold the item's share."""
+        n, blocks = len(self.needs), len(b.text)
+        some = np.flatnonzero(self.maybe[b.term])
+        at = np.minimum(np.searchsorted(self.words, b.word[some]), len(self.words) - 1)
+        on = self.words[at] == b.word[some]
+        at, block = at[on], b.block[some[on]]
+        first, count = self.first[at], self.first[at + 1] - self.first[at]
         end = np.cumsum(count)
-        part = self.parts[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(first - end + count, count)]
-        block = np.repeat(b.block[hit], count)
-        # a passage has its own block's words and the next one's; a word that it repeats counts again, which lets more pass
-        follows = np.flatnonzero((block > 0) & (b.text[block] == b.text[block - 1]))
-        block, part = np.r_[block, block[follows] - 1], np.r_[part, part[follows]]
-        on = like[block, part]
-        pair, have = np.unique(block[on] * n + part[on], return_counts=True)
-        block, part = pair // n, pair % n
-        on = have >= self.needs[part] * share
-        bare = np.flatnonzero(self.needs == 0)  # parts without a telling word
-        more, which = np.nonzero(like[:, bare])
-        return np.r_[block[on], more], np.r_[part[on], bare[which]]
-
-
-def search(hashed: DataFrame, vectors: np.ndarray, items: list[tuple], cosine: float = COSINE, leak: float = LEAK, paraphrase: float = PARAPHRASE) -> DataFrame:
-    """(doc_id, item_id, cosine, common, item_words) of the leaks. items: (item_id, words, answer words)."""
+        item = self.items[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(first - end + count, count)]
+        have = np.bincount(np.repeat(block, count) * n + item, minlength=blocks * n).reshape(blocks, n)
+        before = np.zeros((blocks + 1, n), np.int32)
+        np.cumsum(have, axis=0, out=before[1:])
+        out, row = np.empty((blocks, n), bool), np.arange(blocks)
+        for reach in np.unique(self.reach):
+            own = np.flatnonzero(self.reach == reach)
+            low = np.maximum(row - reach, b.first_block[b.text])
+            high = np.minimum(row + 2 + reach, b.first_block[b.text + 1])
+            part = before[:, own]
+            out[:, own] = part[high] - part[low] >= self.needs[own]
+        return out
+
+
+def search(hashed: DataFrame, vectors: np.ndarray, rarity: np.ndarray, items: list[tuple], cosine: float = COSINE, leak: float = LEAK, paraphrase: float = PARAPHRASE) -> DataFrame:
+    """(doc_id, item_id, cosine, common, item_words) of the leaks. items: (item_id, words, answer words); rarity of each term."""
     texts = [w for _, w, _ in items]
     parts = item_windows(texts)
     rows = np.stack([vectors[texts[i][a:b] & np.uint32(TERMS - 1)].sum(0) for i, a, b in parts]) if parts else np.zeros((0, vectors.shape[1]), np.float32)
-    shared = hashed.sparkSession.sparkContext.broadcast(pickle.dumps((vectors, items, parts, normed(rows))))  # ITEMS items at most
+    shared = hashed.sparkSession.sparkContext.broadcast(pickle.dumps((vectors, rarity, items, parts, normed(rows))))  # ITEMS items at most
     id_kind, item_kind = hashed.schema["doc_id"].dataType.simpleString(), "long" if items and isinstance(items[0][0], int) else "string"
 
     def run(batches):
-        v, items, parts, rows = pickle.loads(shared.value)
-        telling = Telling([items[i][1][a:b] for i, a, b in parts])
+        v, rarity, items, parts, rows = pickle.loads(shared.value)
+        telling = Telling([w for _, w, _ in items], rarity, min(leak, paraphrase))
+        owner = np.array([i for i, _, _ in parts], np.int64)
         plain = [(w.tolist(), answer.tolist()) for _, w, answer in items]
-        for piece, held in _chunks(batches, 1, 1 << 20):
+        for piece, held in _chunks(batches, 1, AT_ONCE):
             b = Blocks(held)
             if not len(b.word) or not parts:
                 continue
@@ -245,7 +262,7 @@ def search(hashed: DataFrame, vectors: np.ndarray, items: list[tuple], cosine: f
             two = one.copy()
             two[:-1] += np.where((b.text[1:] == b.text[:-1])[:, None], one[1:], 0)
             best = np.maximum(normed(one) @ rows.T, normed(two) @ rows.T)
-            block, part = telling.enough(b, best >= cosine, paraphrase * 0.5)
+            block, part = np.nonzero((best >= cosine) & telling.enough(b)[:, owner])
             found: dict = {}
             ends = np.r_[b.starts, len(b.word)]
             last = np.minimum(np.arange(len(b.text)) + 2, b.first_block[b.text + 1])
@@ -278,7 +295,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, answer_col: str | None = None,
 
     def flush():
         nonlocal out, block
-        part = search(hashed, vectors, block, cosine)
+        part = search(hashed, vectors, idf, block, cosine)
         out, block = part if out is None else out.unionAll(part), []
 
     chosen = benchmark.select("item_id", "text", *([answer_col] if answer_col else []))

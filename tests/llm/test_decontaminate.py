@@ -92,3 +92,43 @@ def test_sums_by_block_and_by_term_match_the_plain_rule():
     b.add_to_terms(want, total)
     np.add.at(plain, b.term, want[b.block])
     assert np.allclose(total, plain)
+
+
+def test_the_filter_drops_no_pair_that_the_subsequence_accepts():
+    rng = random.Random(6)
+    for common_share in (0.2, 0.5, 0.8):
+        vocab = [f"c{k}" for k in range(12)]
+        draw = lambda n: [rng.choice(vocab) if rng.random() < common_share else sentence(rng, 1) for _ in range(n)]
+        items = [draw(rng.choice([3, 15, 38, 59, 71, 200])) for _ in range(60)]
+        texts = []
+        for w in items:  # every other rare word is changed, then common ones, to 0.6 of the item
+            keep = sorted(sorted(range(len(w)), key=lambda k: (w[k] not in vocab, rng.random()))[: -(-len(w) * 6 // 10)])
+            texts.append(draw(rng.randrange(0, 60)) + [w[k] if k in keep else sentence(rng, 1) for k in range(len(w))] + draw(40))
+        numbers = [d.words(" ".join(w)) for w in items]
+        b = d.Blocks([d.words(" ".join(t)).astype("<u4").tobytes() for t in texts])
+        rarity = np.ones(d.TERMS)
+        rarity[d.words(" ".join(vocab)) % d.TERMS] = 0
+        passed = d.Telling(numbers, rarity, d.PARAPHRASE).enough(b)
+        ends, accepted = np.r_[b.starts, len(b.word)], 0
+        for k in range(len(b.text)):
+            t = b.text[k]
+            for i, w in enumerate(numbers):
+                near = b.word[max(b.first[t], b.starts[k] - len(w)) : min(b.first[t + 1], ends[min(k + 2, b.first_block[t + 1])] + len(w))]
+                if d.common_subsequence(w.tolist(), near.tolist()) >= d.PARAPHRASE * len(w):
+                    accepted += 1
+                    assert passed[k, i]
+        assert accepted >= 60
+        assert not passed.all()
+
+
+def test_a_paraphrase_that_keeps_the_common_words_is_found(spark):
+    rng = random.Random(8)
+    usual = [sentence(rng, 1) for _ in range(8)]
+    items = [[rng.choice(usual) if k % 3 else sentence(rng, 1) for k in range(36)] for _ in range(150)]
+    fill = lambda n: [sentence(rng, 1) for _ in range(n)]
+    # three in four words stay; those that go are rare, so a quarter of the rare words is left
+    texts = [fill(30) + [sentence(rng, 1) if k % 3 == 0 and k % 4 else x for k, x in enumerate(w)] + fill(30) for w in items[:40]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], ITEMS)
+    got = {(r.doc_id, r.item_id) for r in d.leaks(docs, bench, cosine=-1.0).collect()}
+    assert {(i, i) for i in range(40)} <= got
