@@ -236,7 +236,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", shingle: int = 4, r
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of docs that are the first of their component; repeated rows of that document are one."""
-    found = near_duplicates(docs.select("doc_id", "text"), "doc_id", shingle, radius)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of docs for each component: of smallest doc_id, null last, then of smallest row hash; repeated rows are one."""
+    row = F.xxhash64("doc_id", "text")
+    # as a key of its own, a row stands for its component even where others share its doc_id or have none
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row.alias("row")).alias("key")
+    found = near_duplicates(docs.select(key, "text"), "key", shingle, radius)
+    kept = found.select(F.col("component_id.row").alias("_kept")).distinct()
+    return docs.withColumn("_row", row).join(kept, F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row"]).drop("_row")

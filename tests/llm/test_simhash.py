@@ -88,3 +88,11 @@ def test_split_buckets_give_the_same_links(spark):
     whole = {r.node: r.root for r in components(simhash.edges(df, 1)).collect()}
     cut = {r.node: r.root for r in components(simhash.edges(df, 1, split=7)).collect()}
     assert whole == cut == {x: 0 for x in fps}
+
+
+def test_keep_one_keeps_a_row_of_each_component(spark):
+    a, b, c = ("clear water runs down the old hill", "nine ships left port at dawn today", "a red fox sleeps under our barn")
+    rows = [(None, a), (None, b), (None, b), (None, c), (5, c), (6, c), (7, a + " x"), (7, "quite another text of the same id"), (7, None)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, DOCS), radius=0).collect()
+    want = [(None, a), (None, b), (5, c), (7, a + " x"), (7, "quite another text of the same id"), (7, None)]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
