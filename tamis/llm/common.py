@@ -20,9 +20,12 @@ def scratch(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = jvm_dir.get() if jvm_dir.isDefined() else tempfile.mkdtemp(prefix="tamis-")
         if not jvm_dir.isDefined():
-            spark.sparkContext.setCheckpointDir(base)
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tamis-"))
+            jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = jvm_dir.get()
     return f"{base.rstrip('/')}/tamis-{uuid.uuid4().hex}"
 
 
@@ -43,18 +46,35 @@ def drop_table(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded_sample(ids: DataFrame, column: str, most: int, buckets: int = 1 << 14) -> DataFrame:
-    """The rows of ids (distinct values of column) whose hash lies in the first buckets that hold `most` rows together.
-
-    What comes to the driver is one count per bucket, whatever the size of ids."""
-    bucket = F.pmod(F.xxhash64(column), F.lit(buckets))
-    counts = {r.b: r.n for r in ids.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}
-    total = 0
-    for b in range(buckets):
-        total += counts.get(b, 0)
-        if total > most:
-            return ids.where(bucket < b)
-    return ids
+def bounded_sample(rows: DataFrame, key: Column, most: int, weight: Column | None = None, slots: int = 1 << 10) -> DataFrame:
+    """The rows whose hash of key lies under a threshold, chosen so that their weights (1 each) sum to `most` at most.
+
+    The threshold is refined, slot by slot, until over half of `most` lie under it, so it never falls to nothing while
+    smaller keys exist. What comes to the driver is `slots` sums for each step, whatever the size of rows."""
+    h = F.xxhash64(key).bitwiseAND(F.lit((1 << 62) - 1))
+    w = F.lit(1) if weight is None else weight
+    low, width, held = 0, 1 << 62, 0
+    while True:
+        step = max(1, width // slots)
+        slot = F.expr("div(_h - {0}L, {1}L)".format(low, step))
+        some = rows.select(h.alias("_h"), w.cast("long").alias("_w")).where((F.col("_h") >= low) & (F.col("_h") - low < width))
+        sums = {r.s: r.w for r in some.groupBy(slot.alias("s")).agg(F.sum("_w").alias("w")).collect()}
+        for s in sorted(sums):
+            if held + sums[s] > most:
+                low += s * step
+                break
+            held += sums[s]
+        else:
+            return rows.where(h < low + width) if low + width < 1 << 62 else rows
+        if 2 * held >= most or step == 1:
+            return rows.where(h < low)
+        width = step
+
+
+def row_keys(*columns: str) -> tuple[Column, Column]:
+    """Two 64-bit hashes that tell rows apart by these columns; nulls count as a value of their own."""
+    parts = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts[::-1])
 
 
 def ascii_lower(c: Column) -> Column:

@@ -1,13 +1,15 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-P(grade <= k) = sigmoid(threshold_k - z), with one weight per bucket of hashed byte 5-grams shared by all thresholds,
-z = sum of weights / sqrt(grams), and thresholds kept in order by their exponentiated gaps. It is fitted on a bounded
-sample of rated documents (SAMPLE rows and SAMPLE_GRAMS distinct grams at most, chosen by hash; the bound is a parameter)
-in one task; every document is then scored where it is read. Expected grade = sum of the tails; the tail of the highest
-grade selects.
-
-Defined results: a null or empty text has no grams, so z = 0; a document without a rating is scored like any other; with
-fewer than two grades in the sample nothing can be fitted, and every tail is 1; repeated rows are scored each.
+P(grade <= k) = sigmoid(threshold_k - z), with one weight per bucket of hashed byte 3-grams shared by all thresholds,
+z = the weights times the text's TF-IDF vector of unit length (log counts; document frequencies over all documents),
+and thresholds kept in order by their exponentiated gaps. It is fitted on a bounded sample of rated documents (SAMPLE
+documents and SAMPLE_GRAMS distinct grams at most, chosen by hash; the bounds are parameters) in one task, which gets
+features, not texts; every document is then scored where it is read. Expected grade = sum of the tails; the tail of the
+highest grade selects.
+
+Defined results: a null or empty text has no grams, so z = 0; a document without a rating is scored like any other; a
+doc_id with several ratings has the highest, one with several texts is fitted on the one of least hash; with fewer than
+two grades in the sample nothing can be fitted, and every tail is 1; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
-from .grams import BITS, hashed, pieces, row_sums
+from .common import bounded_sample, table
+from .grams import BITS, hashed, pieces
 
+WIDTH = 3
 SAMPLE = 6000
-SAMPLE_GRAMS = 20_000_000
+SAMPLE_GRAMS = 12_000_000
 EPOCHS = 12
 
 
@@ -33,6 +36,7 @@ class Model:
     weights: np.ndarray
     thresholds: np.ndarray
     lowest: int
+    idf: np.ndarray | None = None
 
     def tails(self, z: np.ndarray) -> np.ndarray:
         """(rows, thresholds): P(grade > k)."""
@@ -41,8 +45,8 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - z[:, None], -50, 50)))
 
 
-def fit_arrays(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-6) -> Model:
-    """rows: (buckets, their counts / sqrt(grams)) of each document. AdaGrad over batches of 32 in a fixed order."""
+def fit_arrays(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, epochs: int = EPOCHS, rate: float = 40.0, decay: float = 1e-6) -> Model:
+    """rows: (buckets, their values) of each document. Gradient descent over batches of 32 in a fixed order."""
     kinds = np.unique(grades)
     weights = np.zeros(1 << BITS)
     if len(kinds) < 2:
@@ -51,7 +55,7 @@ def fit_arrays(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, ep
     below = np.array([(y <= k).mean() for k in range(len(kinds) - 1)])
     start = np.log(below / (1 - below))
     base, gaps = start[0], np.log(np.maximum(np.diff(start), 1e-3))
-    squares, ts = np.full(1 << BITS, 1e-2), np.full(len(start), 1e-2)
+    ts = np.full(len(start), 1e-2)
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 32)):
@@ -67,9 +71,7 @@ def fit_arrays(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, ep
             dh, dl = high * (1 - high) / mass, low * (1 - low) / mass
             g = np.bincount(at, ((dh - dl) / len(batch))[who] * x, 1 << BITS)  # of the loss by the weights
             used = np.unique(at)
-            gu = g[used] + decay * weights[used]
-            squares[used] += gu**2
-            weights[used] -= rate * gu / np.sqrt(squares[used])
+            weights[used] -= rate * (g[used] + decay * weights[used])
             dcut = np.zeros(len(start) + 2)
             np.add.at(dcut, k + 1, -dh / len(batch))
             np.add.at(dcut, k, dl / len(batch))
@@ -81,49 +83,93 @@ def fit_arrays(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, ep
     return Model(weights.astype(np.float32), base + np.r_[0, np.cumsum(np.exp(gaps))], int(kinds[0]))
 
 
+def document_frequencies(docs: DataFrame) -> np.ndarray:
+    """Inverse document frequencies of the buckets over all docs; at most 2^18 rows come to the driver."""
+
+    def run(batches):
+        df, n = np.zeros(1 << BITS, np.int64), 0
+        for b in batches:
+            for part in pieces(b, 0):
+                n += part.num_rows
+                for at, _ in features(part.column(0)):
+                    df[at] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[n, df[at]])], names=["bucket", "n"])
+
+    got = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, n = got["bucket"].to_numpy(), got["n"].to_numpy()
+    df = np.zeros(1 << BITS)
+    df[bucket[bucket >= 0]] = n[bucket >= 0]
+    return np.log((n[bucket < 0].sum() + 1) / (df + 1)).astype(np.float32) + np.float32(1e-3)
+
+
 def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    buckets, first = hashed(texts)
-    out = []
-    for a, b in zip(first, first[1:]):
-        at, n = np.unique(buckets[a:b], return_counts=True)
-        out.append((at.astype(np.int32), (n / np.sqrt(max(1, b - a))).astype(np.float32)))
-    return out
+    """(distinct buckets, log(1 + count)) of each text."""
+    buckets, first = hashed(texts, WIDTH)
+    if len(buckets):  # all texts at once: a text's buckets lie side by side, in order
+        code = np.sort(np.repeat(np.arange(len(first) - 1, dtype=np.int64) << BITS, np.diff(first)) | buckets)
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        n = np.diff(np.r_[starts, len(code)])
+        at, ends = (code[starts] & (1 << BITS) - 1).astype(np.int32), np.searchsorted(starts, first)
+        value = np.log1p(n).astype(np.float32)
+    else:
+        at, value, ends = np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(len(first), np.int64)
+    return [(at[a:b], value[a:b]) for a, b in zip(ends, ends[1:])]
+
+
+def normed(at: np.ndarray, value: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    x = value * idf[at]
+    return x / np.maximum(np.sqrt((x * x).sum()), 1e-9)
 
 
 def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, sample_grams: int = SAMPLE_GRAMS) -> Model:
     """ratings: doc_id, grade (int). The `sample` ratings of least hash meet their texts by a broadcast of that many ids."""
+    idf = document_frequencies(docs)
     rated = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
-    chosen = bounded_sample(rated, "doc_id", sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
+    chosen = bounded_sample(rated, F.col("doc_id"), sample)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", F.xxhash64("text").alias("h"), "text")
+
+    def made(batches):
+        for b in batches:
+            for part in pieces(b, 3):
+                found = features(part.column(3))
+                packed = [pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1)]
+                sizes = pa.array([len(x[0]) for x in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *packed, sizes], names=["doc_id", "grade", "h", "at", "value", "size"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    rows = texts.mapInArrow(made, f"doc_id {kind}, grade int, h long, at binary, value binary, size long")
+    # one text for each id; a hash decides, so the sum is partial before the shuffle
+    rows = table(rows.groupBy("doc_id", "grade").agg(F.min_by(F.struct("at", "value", "size"), F.struct("h", "size")).alias("x")).select("doc_id", "grade", "x.*"))
+    rows = bounded_sample(rows, F.col("doc_id"), sample_grams, F.col("size"))
 
     def run(batches):
-        rows, grades, order, total = [], [], [], 0
+        own, grades = [], []
         for b in batches:
-            for part in pieces(b, 2):
-                for i, g, f in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), features(part.column(2))):
-                    if total < sample_grams:
-                        rows.append(f)
-                        grades.append(g)
-                        order.append((i, len(f[0])))
-                        total += len(f[0])
-        at = sorted(range(len(rows)), key=order.__getitem__)
-        model = fit_arrays([rows[i] for i in at], np.array([grades[i] for i in at], np.int64))
+            grades += b.column(0).to_pylist()
+            for at, value in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                at = np.frombuffer(at, np.int32)
+                own.append((at, normed(at, np.frombuffer(value, np.float32), idf)))
+        model = fit_arrays(own, np.array(grades, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    (found,) = texts.repartition(1).sortWithinPartitions(F.xxhash64("doc_id")).mapInArrow(run, "model binary").collect() or (None,)
-    return pickle.loads(found.model) if found else fit_arrays([], np.zeros(0, np.int64))
+    one = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("grade", "at", "value")
+    (found,) = one.mapInArrow(run, "model binary").collect() or (None,)
+    model = pickle.loads(found.model) if found else fit_arrays([], np.zeros(0, np.int64))
+    model.idf = idf
+    return model
 
 
 def score(docs: DataFrame, model: Model, least_tail: float = 0.5) -> DataFrame:
     """doc_id, expected_grade, tail (probability of the highest grade) and kept (tail >= least_tail)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB: 2^18 buckets
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB: 2^18 weights and frequencies
 
     def run(batches):
         m = shared.value
         for b in batches:
             for part in pieces(b, 1):
-                buckets, first = hashed(part.column(1))
-                tails = m.tails(row_sums(m.weights[buckets], first) / np.sqrt(np.maximum(np.diff(first), 1)))
+                z = np.array([float(m.weights[at] @ normed(at, value, m.idf)) for at, value in features(part.column(1))])
+                tails = m.tails(z)
                 cols = [part.column(0), pa.array(m.lowest + (tails.sum(1) if len(m.thresholds) else 0 * tails[:, 0])), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= least_tail)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "expected_grade", "tail", "kept"])
 

@@ -53,7 +53,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
-    return judge(load(spark, sf_dir, "documents"), trusted_labels(spark, sf_dir)).drop("row")
+    return judge(load(spark, sf_dir, "documents"), trusted_labels(spark, sf_dir)).drop("r", "q")
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,16 +41,35 @@ def test_hashed_grams_follow_the_rows():
 
 
 def brute_scores(docs, fits):
-    raw, target = np.zeros(1 << grams.BITS), np.zeros(1 << grams.BITS)
-    each = {}
-    for i, t in docs:
-        b, _ = grams.hashed(pa.array([t]))
-        each[i] = b
-        raw += np.bincount(b, minlength=len(raw))
-        if i in fits:
-            target += np.bincount(b, minlength=len(raw))
-    ratio = np.log((target + qr.PSEUDO) / (raw * (target.sum() / raw.sum()) + qr.PSEUDO))
-    return {i: (ratio[b].mean() if len(b) else 0.0, np.minimum(ratio[b] + qr.EVIDENCE, 0).mean() if len(b) else 0.0) for i, b in each.items()}
+    out = {i: [] for i, _ in docs}
+    for width, bits in qr.FAMILIES:
+        raw, target, each = np.zeros(1 << bits), np.zeros(1 << bits), {}
+        for i, t in docs:
+            each[i], _ = grams.hashed(pa.array([t]), width, bits)
+            np.add.at(raw, each[i], 1)
+            if i in fits:
+                np.add.at(target, each[i], 1)
+        ratio = np.log((target + qr.PSEUDO) / (raw * (target.sum() / raw.sum()) + qr.PSEUDO))
+        for i, b in each.items():
+            out[i] += [ratio[b].mean() if len(b) else 0.0, np.minimum(ratio[b] + qr.EVIDENCE, 0).mean() if len(b) else 0.0]
+    return {i: (a, b, d) for i, (a, b, _, d) in out.items()}
+
+
+def brute_cuts(figures, trust, held):
+    """The cuts by plain loops over the grid's steps that occur."""
+    found = []
+    for k, price in enumerate((qr.CARE, qr.CARE, qr.RARE_CARE)):
+        rows = [(int(min(qr.GRID - 1, max(0, np.floor((f[k] + 4) * (qr.GRID / 5))))), trust[i]) for i, f in figures.items() if i in trust and (not trust[i] or held(i))]
+        if k == 2:
+            rows = [r for r, (i, f) in zip(rows, [x for x in figures.items() if x[0] in trust and (not trust[x[0]] or held(x[0]))]) if f[0] >= found[0] and f[1] >= found[1]]
+        clean, bad = sum(t for _, t in rows), sum(not t for _, t in rows)
+        best = (0.0, float("-inf"))
+        for s in sorted({s for s, _ in rows}) if clean and bad else []:
+            gain = sum(not t for x, t in rows if x <= s) / bad - price * (sum(t for x, t in rows if x <= s) + 1) / (clean + 1)
+            if gain > best[0] + 1e-12:
+                best = (gain, (s + 1) * 5 / qr.GRID - 4)
+        found.append(best[1])
+    return found
 
 
 def test_quality_rules_on_the_whole_table(spark):
@@ -65,9 +84,12 @@ def test_quality_rules_on_the_whole_table(spark):
     for i, t in rows:
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == qr.base_counts(t)
-        assert abs(r.llr - want[i][0]) < 1e-5 and abs(r.damning - want[i][1]) < 1e-5
+        assert abs(r.llr - want[i][0]) < 1e-5 and abs(r.damning - want[i][1]) < 1e-5 and abs(r.rare - want[i][2]) < 1e-5
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
         assert not (r.base_failed and r.kept)
+    figures = {i: (r.llr, r.damning, r.rare) for i, r in got.items() if not r.base_failed}
+    cut = brute_cuts(figures, trust, lambda i: zlib.crc32(str(i).encode()) % 5 == 0)
+    assert all(got[i].kept == all(x >= c for x, c in zip(f, cut)) for i, f in figures.items())
     judged = [(trust[i], got[i].kept) for i in trust if i in got and not got[i].base_failed]
     clean, bad = [k for t, k in judged if t], [k for t, k in judged if not t]
     assert np.mean(clean) > 0.97 and np.mean(bad) < 0.5
@@ -115,3 +137,19 @@ def test_classifier_edge_cases(spark):
         assert len(got) == 5 and all(0 <= r["tail"] <= 1 for r in got)
     empty = spark.createDataFrame([], DOCS)
     assert qc.score(empty, qc.fit(empty, spark.createDataFrame([], "doc_id long, grade int"))).count() == 0
+
+
+def test_a_bounded_sample_is_neither_too_large_nor_empty(spark):
+    from pyspark.sql import functions as F
+
+    from tamis.llm.common import bounded_sample
+
+    ids = spark.range(20_000)
+    for most in (3, 100, 5000):
+        for slots in (2, 16, 1024):
+            got = bounded_sample(ids, F.col("id"), most, slots=slots)
+            assert most / 2 <= got.count() <= most
+    assert bounded_sample(ids, F.col("id"), 30_000).count() == 20_000
+    weighed = bounded_sample(ids, F.col("id"), 10_000, F.col("id") % 7)
+    assert 5_000 <= weighed.agg(F.sum(F.col("id") % 7)).first()[0] <= 10_000
+    assert bounded_sample(ids.limit(0), F.col("id"), 5).count() == 0
