@@ -6,7 +6,7 @@ suffixes with as many labels as some rule's host, and prefixes as long as some r
 at most (label counts of the rules) x (path lengths of the rules) expressions, however long it is.
 
 Defined results: a null url, or one without `://`, has an empty host and path and takes the default verdict; repeated
-rows stay repeated; columns of the input that clash with host, path, rule or verdict are replaced.
+rows stay repeated; a rule without a host and a path is an error; columns of the input that clash with host, path, rule or verdict are replaced.
 """
 
 from __future__ import annotations
@@ -31,11 +31,12 @@ def parse_url(url):
 def rule_table(spark: SparkSession, rules) -> DataFrame:
     """rules: (verdict, `host/path`) pairs, or a DataFrame of verdict and rule. Digest, 32-bit prefix, label count and path length."""
     df = rules if isinstance(rules, DataFrame) else spark.createDataFrame([tuple(r) for r in rules], RULE_SCHEMA)
+    if wrong := df.where(~F.coalesce(F.contains("rule", F.lit("/")), F.lit(False))).first():
+        raise ValueError(f"a rule needs a host and a path, as in example.com/: {wrong.rule!r}")
     host = ascii_lower(F.substring_index("rule", "/", 1))
     path = F.expr("substring(rule, instr(rule, '/'))")
     return (
-        df.where(F.instr("rule", "/") > 0)
-        .select("verdict", "rule", host.alias("_rh"), path.alias("_rp"))
+        df.select("verdict", "rule", host.alias("_rh"), path.alias("_rp"))
         .select("verdict", "rule", "_rh", F.sha2(F.concat("_rh", "_rp"), 256).alias("digest"), F.size(F.split("_rh", r"\.")).alias("labels"), F.char_length("_rp").alias("plen"))
         .withColumn("short", F.substring("digest", 1, 8))
     )
@@ -62,9 +63,8 @@ def judge(pages: DataFrame, rules, url_col: str = "url", default: str = "allow")
     hits = hashed.join(table, "short").where(F.col("_digest") == F.col("digest"))
     order = F.struct(F.char_length("rule"), F.char_length("_rh"), (F.col("verdict") == "block").cast("int"), F.col("rule"))
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), order).alias("_best"))
-    return (
-        own.join(best, ["host", "path"], "left")
-        .withColumn("rule", F.col("_best.rule"))
-        .withColumn("verdict", F.coalesce("_best.verdict", F.lit(default)))
-        .drop("_best")
-    )
+    # a url without host or path fits no rule: null urls, however many, stay where they are
+    may = (F.col("host") != "") & (F.col("path") != "")
+    none = F.lit(None).cast(best.schema["_best"].dataType)
+    met = own.where(may).join(best, ["host", "path"], "left").select(*own.columns, "_best").unionAll(own.where(~may).select("*", none.alias("_best")))
+    return met.withColumn("rule", F.col("_best.rule")).withColumn("verdict", F.coalesce("_best.verdict", F.lit(default))).drop("_best")
