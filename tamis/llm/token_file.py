@@ -13,52 +13,52 @@ some segments in lockstep, verifies every CRC-32 and fails on a wrong one.
 Where a document starts follows from the segments' totals: sums in a part, and the parts before it. Payloads are never
 shuffled; only rows of a few numbers are.
 
+The library encodes whole texts with the file's own settings, so the string of a special token in a text gives its id.
+
 Defined results: a null or empty text has the end id only; documents with the same doc_id lie next to each other, by the
 hash of their text; a null doc_id comes first.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN
-from .common import scratch
+from .common import drop_table, scratch, table
+from .grams import pieces
 from .range_coder import compress, expand
 
 BLOCK, SEGMENT, LANES = 4096, 1 << 18, 1024
-REMEMBERED = 400_000
+#: Characters that the library encodes at once.
+CHARS = 200_000
 SCHEMA = "part int, segment int, first_id {0}, docs int, ids long, doc_ids array<{0}>, counts array<int>, data binary"
 
 
 class Tokenizer:
-    """The tokenizers library on the distinct pieces of the pattern, remembered; special tokens' strings are ordinary text."""
+    """The tokenizers library on whole texts, as the file configures it; special tokens' strings give their ids, none are added."""
 
-    def __init__(self, path: str, pattern: str = PATTERN):
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True
-        self.split, self.known = regex.compile(pattern).findall, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [self.split(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        new = list(set().union(*pieces) - known.keys()) if pieces else []
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for piece, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                known[piece] = e.ids
-        return [np.array([i for p in ps for i in known[p]], np.uint32) for ps in pieces]
+        """The ids of each text; some texts at a time, so the library's own objects stay small."""
+        out, at, size = [], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= CHARS or i == len(texts) - 1:
+                out += [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts[at : i + 1], add_special_tokens=False)]
+                at, size = i + 1, 0
+        return out
 
 
 def pack(blocks: list[np.ndarray], coded: list[bytes], nibbles: int) -> bytes:
@@ -106,8 +106,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, nibbl
         waiting = 0
         for b in batches:
             arrow = b.column(0).type
-            for at in range(0, b.num_rows, 500):
-                piece = b.slice(at, 500)
+            for piece in pieces(b, 1, 1_000_000):
                 for doc, one in zip(piece.column(0).to_pylist(), tok.encode([x or "" for x in piece.column(1).to_pylist()])):
                     doc_ids.append(doc)
                     ids.append(np.r_[one, np.uint32(end_id)])
@@ -192,7 +191,10 @@ def _read(spark: SparkSession, path: str, digest: bool) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """The digests of docs after its ids have been written to a new folder below the shared one and read back."""
-    path = scratch(docs.sparkSession)
+    """The digests of docs after its ids have been written to a new folder below the shared one and read back; the folder goes then."""
+    spark = docs.sparkSession
+    path = scratch(spark)
     write_ids(docs, tokenizer, path, end_id)
-    return digests(docs.sparkSession, path)
+    out = table(digests(spark, path))
+    drop_table(spark, spark.read.parquet(path))
+    return out
