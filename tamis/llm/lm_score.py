@@ -1,16 +1,22 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-Tokens are lower-cased words and one end per text. Their training counts give the base model (add one) and a two-level
-vocabulary of CLASSES x LEAVES: the most frequent words have a leaf of their own, every other word, seen or not, lies in
-one of the last class's leaves, chosen by its ending. P(token | context) = P(class | context) P(leaf | class, context)
-P(token | leaf); the last is (c + 1) / (sum of c + 1 in the leaf, plus 1 for all words never seen). The first two are
-maximum-entropy models over hashed features of the three tokens before: the token before, the skips over one and two
-tokens, and the pair before. They start as the unigram model, so features only refine it.
-
-Training: every training text is used. Each task runs AdaGrad over its texts in minibatches from the common start and
-returns the change of each weight; the changes are averaged by tokens. What comes to the driver is the model, whose size
-is fixed. Counts of the KNOWN most frequent words are broadcast (a bound on the list, not on what is counted); the words
-beyond meet their counts in a join, so counts are exact for every token.
+Tokens are lower-cased words and one end per text. Their training counts give the base model (add one) and a tree of
+three levels with `width` branches each: a class, a class in it, a leaf. The most frequent words have a leaf of their
+own, the words side by side in byte order, so that a class holds words that begin alike; every other word, seen or not,
+lies in one of the last class's leaves, chosen by its ending. P(token | context) = P(class | context)
+P(class in it | class, context) P(leaf | both, context) P(token | leaf); the last is (c + 1) / (sum of c + 1 in the leaf,
+plus 1 for all words never seen). The others are maximum-entropy models over hashed features of the three tokens before,
+by their words: the token before, the skips over one and two tokens, the pair before, and the ending before. Features of
+all levels share one table of rows of `width` weights. They start as the unigram model, so features only refine it.
+
+What is learned grows with the corpus: branches with the sixth root of the distinct words (so leaves with their square
+root), rows with the tokens to the power 0.4, training shards with the square root of the tokens.
+
+Training: every training text is used once. Texts are dealt to shards by a hash, so the model is the same on every
+cluster; a shard's task runs AdaGrad over its texts in minibatches from the common start and returns the change of each
+row. Changes are averaged row by row, weighted by how often a shard met the row, in ROUNDS rounds: the second part of the
+shards starts from what the first has learned. The KNOWN most frequent words are broadcast with their counts (a bound on
+the list, not on what is counted); words beyond meet their counts in a join, so counts are exact for every token.
 
 Defined results: a null or empty text is one end token; a null doc_id trains; repeated rows count and are scored each;
 with no training texts all counts are zero.
@@ -30,21 +36,45 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, table
+from .common import LOWER_BYTES, drop_table, row_keys, table
+from .grams import pieces
 
-CLASSES, LEAVES = 32, 32
-OWN = (CLASSES - 1) * LEAVES
-NOTHING = CLASSES * LEAVES
 KNOWN = 200_000
-#: Rows of features: three single tokens with a row each, the pair before hashed; for leaves, two hashed singles.
-ONE, PAIR, LEAF_ROWS = NOTHING + 1, 4096, 256
-BATCH, RATE = 4096, 0.3
-#: Input partitions that one training task takes.
-GATHER = 4
+BATCH, RATE = 4096, 0.2
+#: Rounds of averaging, and rows of the table that travel together.
+ROUNDS, TOGETHER = 2, 256
 END = None
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Distinct words that a task counts before it hands its counts on, and rows of an Arrow batch.
+COUNTED, SLICE = 100_000, 20_000
 #: Occurrences of a row in a batch that are added one rank at a time; those beyond, of few rows, by segment.
 RANKS = 8
+#: Before a text's first token.
+_START = 0x9E3779B9
+
+
+@dataclass(frozen=True)
+class Shape:
+    """The size of a model."""
+
+    width: int
+    rows: int
+    shards: int
+
+    @classmethod
+    def of(cls, tokens: int, distinct: int) -> Shape:
+        width = max(8, -(-round((4 * distinct**0.5) ** (1 / 3)) // 4) * 4)
+        rows = 1 << max(10, round(np.log2(200 * max(tokens, 1) ** 0.4)))
+        return cls(width, rows, max(ROUNDS, round(tokens**0.5 / 450)))
+
+    @property
+    def leaves(self) -> int:
+        return self.width**3
+
+    @property
+    def own(self) -> int:
+        """Leaves of one word; the last class is for all other words."""
+        return (self.width - 1) * self.width**2
 
 
 def held_out(doc_id):
@@ -55,10 +85,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER_BYTES).split()
 
 
-def rare_leaf(word: bytes) -> int:
-    return OWN + zlib.crc32(word[-3:]) % LEAVES
-
-
 def token_counts(texts: DataFrame, column: str = "text") -> DataFrame:
     """(word binary, c): the words of all rows; the end is a null word."""
 
@@ -66,47 +92,56 @@ def token_counts(texts: DataFrame, column: str = "text") -> DataFrame:
         seen: Counter = Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+            entries = iter(seen.items())
+            while some := list(islice(entries, SLICE)):
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.binary()), pa.array([n for _, n in some], pa.int64())], names=["word", "c"])
 
         for b in batches:
-            seen[END] += b.num_rows
-            for x in b.column(0):
-                seen.update(words_of(x.as_py()))
-                if len(seen) > 500_000:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
+            for part in pieces(b, 0, 1_000_000):
+                seen[END] += part.num_rows
+                for x in part.column(0):
+                    seen.update(words_of(x.as_py()))
+                if len(seen) > COUNTED:
+                    yield from out()
+                    seen = Counter()
+        yield from out()
 
     return texts.select(column).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0")
 
 
 @dataclass
 class Vocabulary:
-    """What is known of the counts: N, V, leaves and masses, and the KNOWN most frequent words with their counts."""
+    """What is known of the counts: N, V, the KNOWN most frequent words with counts and leaves, and each leaf's mass."""
 
     tokens: int
     distinct: int
+    shape: Shape
     words: list
     counts: np.ndarray
+    leaves: np.ndarray
     mass: np.ndarray
     index: dict = field(default_factory=dict)
 
-    def leaf(self, word) -> int:
-        rank = self.ranks().get(word, OWN)
-        return rank if rank < OWN else rare_leaf(word)
-
     def ranks(self) -> dict:
         if not self.index:
             self.index = {w: i for i, w in enumerate(self.words)}
         return self.index
 
+    def leaf(self, word) -> int:
+        rank = self.ranks().get(word, -1)
+        return int(self.leaves[rank]) if 0 <= rank < len(self.leaves) else self.rare_leaf(word)
+
+    def rare_leaf(self, word: bytes) -> int:
+        return self.shape.own + zlib.crc32(word[-3:]) % self.shape.width**2
+
     def __getstate__(self):
         return self.__dict__ | {"index": {}}
 
 
-def vocabulary(counts: DataFrame, known: int = KNOWN) -> Vocabulary:
+def vocabulary(counts: DataFrame, known: int | None = None) -> Vocabulary:
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    shape = Shape.of(int(totals.n), int(totals.v))
+    known = known or max(KNOWN, shape.own)
     # the greatest steps of log counts that hold `known` words together: the list is bounded before anything is sent
     step = F.floor(F.log("c") * 60).cast("int")
     least, held = 1 << 30, 0
@@ -115,21 +150,25 @@ def vocabulary(counts: DataFrame, known: int = KNOWN) -> Vocabulary:
         if held > known:
             break
         least = r.s
-    top = counts.where((step >= least) | F.col("word").isNull()).toArrow().to_pydict()
+    top = counts.where((step >= least) | F.col("word").isNull()).toArrow()
     # the end first: it always has a leaf; then by count and, for equal counts, the word itself
-    best = sorted(((w is not END, -n, w or b"") for w, n in zip(top["word"], top["c"])))
+    best = sorted((w is not END, -n, w or b"") for w, n in zip(top["word"].to_pylist(), top["c"].to_pylist()))
     if not best or best[0][0]:
         best.insert(0, (False, 0, b""))
     words, c = [END] + [w for _, _, w in best[1:]], np.array([-n for _, n, _ in best], np.int64)
-    mass = np.zeros(NOTHING)
-    own = min(len(words), OWN)
-    mass[:own] = c[:own] + 1
-    left = counts.where("word is not null").join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in words[1:own]], "word binary")), "word", "left_anti")
-    ending = F.expr(f"crc32(substring(word, greatest(length(word) - 2, 1), 3)) % {LEAVES}")
-    mass[OWN:] = 1
+    own = min(len(words), shape.own)
+    # the words with a leaf lie in byte order, spread over the classes
+    leaves = np.empty(own, np.int32)
+    leaves[sorted(range(own), key=lambda i: words[i] or b"")] = np.arange(own, dtype=np.int64) * shape.own // max(own, 1)
+    mass = np.zeros(shape.leaves)
+    mass[leaves] = c[:own] + 1
+    mass[shape.own :] = 1
+    few = counts.sparkSession.createDataFrame([(w,) for w in words[1:own]], "word binary")
+    left = counts.where("word is not null").join(F.broadcast(few), "word", "left_anti")  # a word for each leaf at most
+    ending = F.expr(f"crc32(substring(word, greatest(length(word) - 2, 1), 3)) % {shape.width**2}")
     for r in left.groupBy(ending.alias("leaf")).agg(F.sum(F.col("c") + 1).alias("m")).collect():
-        mass[OWN + r.leaf] += r.m
-    return Vocabulary(int(totals.n), int(totals.v), words, c, mass)
+        mass[shape.own + r.leaf] += r.m
+    return Vocabulary(int(totals.n), int(totals.v), shape, words, c, leaves, mass)
 
 
 class _Numbers(dict):
@@ -141,7 +180,7 @@ class _Numbers(dict):
 
 
 class Reader:
-    """Turns texts into leaf sequences, with what is needed of each token's count."""
+    """Turns texts into numbers of words, with what is needed of each word: hash, leaf, rank and count."""
 
     def __init__(self, v: Vocabulary):
         self.v, self.logs = v, np.log10(v.counts + 1)
@@ -149,10 +188,10 @@ class Reader:
 
     def forget(self):
         self.number = _Numbers()
-        self.leaf, self.log, self.rank = (np.zeros(0, t) for t in (np.int32, np.float64, np.int64))
+        self.hash, self.leaf, self.log, self.rank = (np.zeros(0, t) for t in (np.uint32, np.int32, np.float64, np.int64))
 
     def tokens(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of all tokens, ends first of the list of numbers: 0; first token of each text and the end)."""
+        """(numbers of all tokens; first token of each text and the end)."""
         if len(self.number) > REMEMBERED:
             self.forget()
         number = self.number
@@ -164,63 +203,80 @@ class Reader:
         flat = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int32, int(sizes.sum()))
         if len(number) > len(self.leaf):
             new = list(islice(number, len(self.leaf), None))
-            ranks = self.v.ranks()
+            ranks, own = self.v.ranks(), len(self.v.leaves)
             rank = np.fromiter((ranks.get(w, -1) for w in new), np.int64, len(new))
-            leaf = np.fromiter((r if 0 <= r < OWN else rare_leaf(w) for r, w in zip(rank.tolist(), new)), np.int32, len(new))
+            leaf = np.where((rank >= 0) & (rank < own), self.v.leaves[np.clip(rank, 0, own - 1)], -1)
+            far = np.flatnonzero(leaf < 0)
+            leaf[far] = np.fromiter((self.v.rare_leaf(new[i]) for i in far.tolist()), np.int64, len(far))
+            hashes = np.fromiter((zlib.crc32(w) if w is not END else 1 for w in new), np.uint32, len(new))
             log = np.where(rank >= 0, self.logs[rank], 0.0)
-            self.leaf, self.rank, self.log = np.r_[self.leaf, leaf], np.r_[self.rank, rank], np.r_[self.log, log]
+            self.hash, self.leaf, self.rank, self.log = np.r_[self.hash, hashes], np.r_[self.leaf, leaf.astype(np.int32)], np.r_[self.rank, rank], np.r_[self.log, log]
         return flat, np.r_[0, np.cumsum(sizes)]
 
 
-def features(leaf: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the class model (4 x tokens) and of the leaf model (2 x tokens)."""
-    before = []
-    place = np.arange(len(leaf)) - np.repeat(first[:-1], np.diff(first))
-    for k in (1, 2, 3):
-        x = np.full(len(leaf), NOTHING, np.int64)
-        x[k:] = leaf[:-k] if len(leaf) > k else leaf[:0]
-        x[place < k] = NOTHING
-        before.append(x)
-    a, b, c = before
-    pair = 3 * ONE + ((a * 1_000_003 + b) * 2_654_435_761 >> 16 & PAIR - 1)
-    return np.stack([a, ONE + b, 2 * ONE + c, pair]), np.stack([a * 40_503 & LEAF_ROWS - 1, LEAF_ROWS + (b * 40_503 & LEAF_ROWS - 1)])
+def features(word: np.ndarray, leaf: np.ndarray, first: np.ndarray, shape: Shape) -> list[np.ndarray]:
+    """Rows of the table for each level: (5 x tokens) for the class, (3 x tokens) for the class in it, (2 x tokens) for the leaf."""
+    bits = np.uint64(64 - int(shape.rows).bit_length() + 1)
+    place = np.arange(len(word)) - np.repeat(first[:-1], np.diff(first))
+
+    def before(values, k, start):
+        x = np.full(len(values), start, np.uint64)
+        x[k:] = values[:-k] if len(values) > k else values[:0]
+        x[place < k] = start
+        return x
+
+    def row(kind, *parts):
+        h = np.full(len(word), (kind * 0xD6E8FEB86659FD93 + 0x632BE59BD9B4E019) & (1 << 64) - 1, np.uint64)
+        for p in parts:
+            h = (h ^ p) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> bits).astype(np.int32)
+
+    a, b, c = (before(word, k, _START) for k in (1, 2, 3))
+    ending = before(leaf, 1, shape.leaves)
+    top, mid = (leaf // shape.width**2).astype(np.uint64), (leaf // shape.width).astype(np.uint64)
+    return [
+        np.stack([row(0, a), row(1, b), row(2, c), row(3, a, b), row(4, ending)]),
+        np.stack([row(5, a, top), row(6, b, top), row(7, ending, top)]),
+        np.stack([row(8, a, mid), row(9, ending, mid)]),
+    ]
 
 
 @dataclass
 class Model:
-    by_class: np.ndarray
-    by_leaf: np.ndarray
-    class_bias: np.ndarray
-    leaf_bias: np.ndarray
+    shape: Shape
+    weights: np.ndarray
+    bias: list
 
     @classmethod
-    def unigram(cls, mass: np.ndarray) -> Model:
-        m = np.maximum(mass, 1e-3).reshape(CLASSES, LEAVES)
-        share = m.sum(1)
-        return cls(
-            np.zeros((3 * ONE + PAIR, CLASSES), np.float32), np.zeros((2 * LEAF_ROWS, CLASSES, LEAVES), np.float32),
-            np.log(share / share.sum()).astype(np.float32), np.log(m / share[:, None]).astype(np.float32),
-        )
-
-    def logits(self, f, g, kind):
-        z = self.by_class.take(f[0], 0)
-        z += self.class_bias
-        for rows in f[1:]:
-            z += self.by_class.take(rows, 0)
-        y, by_leaf = self.leaf_bias.take(kind, 0), self.by_leaf.reshape(-1, LEAVES)
-        for rows in g:
-            y += by_leaf.take(rows * CLASSES + kind, 0)
-        return z, y
-
-    def log_prob(self, leaf: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Natural log of P(class | context) P(leaf | class, context) for each token."""
-        f, g = features(leaf, first)
-        out = np.empty(len(leaf))
-        for at in range(0, len(leaf), 1 << 14):
-            s = slice(at, at + (1 << 14))
-            kind, k = (leaf[s] // LEAVES).astype(np.int64), np.arange(len(leaf[s]))
-            z, y = self.logits(f[:, s], g[:, s], kind)
-            out[s] = _log_softmax_at(z, k, kind) + _log_softmax_at(y, k, leaf[s] % LEAVES)
+    def unigram(cls, shape: Shape, mass: np.ndarray) -> Model:
+        k, m = shape.width, np.maximum(mass, 1e-3).reshape(-1, shape.width)
+        bias = []
+        for _ in range(3):
+            share = m.sum(1)
+            bias.insert(0, np.log(m / share[:, None]).astype(np.float32))
+            m = share.reshape(-1, k) if len(share) > 1 else share
+        return cls(shape, np.zeros((shape.rows, k), np.float32), bias)
+
+    def logits(self, rows: np.ndarray, level: int, node: np.ndarray) -> np.ndarray:
+        z = self.bias[level].take(node, 0) if level else np.repeat(self.bias[0], rows.shape[1], 0)
+        for r in rows:
+            z += self.weights.take(r, 0)
+        return z
+
+    def steps(self, leaf: np.ndarray):
+        """(level, node, branch) of each of the three decisions."""
+        k = self.shape.width
+        return (0, np.zeros(len(leaf), np.int64), leaf // (k * k)), (1, leaf // (k * k), leaf // k % k), (2, leaf // k, leaf % k)
+
+    def log_prob(self, word: np.ndarray, leaf: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Natural log of P(leaf | context) for each token."""
+        found, out = features(word, leaf, first, self.shape), np.zeros(len(leaf))
+        for at in range(0, len(leaf), BATCH):
+            s = slice(at, at + BATCH)
+            row = np.arange(len(leaf[s]))
+            for level, node, branch in self.steps(leaf[s]):
+                out[s] += _log_softmax_at(self.logits(found[level][:, s], level, node), row, branch)
         return out
 
 
@@ -259,66 +315,91 @@ def _sums(gradient, token, starts):
     return out, by
 
 
+def _order(rows: np.ndarray, most: int) -> np.ndarray:
+    """A stable order of numbers below `most`, 16 bits at a time: a radix sort."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    if most > 1 << 16:
+        order = order[np.argsort((rows[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
+
+
 def _descend(weights, squares, rows, gradient, rate):
     """AdaGrad with one step size per row: rows (k x n) of weights take the gradient (n x width) of their tokens."""
     flat = rows.ravel()
-    order = np.argsort(flat.astype(np.int16), kind="stable")  # fewer than 2^15 rows: a radix sort
-    sorted_ = flat[order]
+    order = _order(flat, len(weights))
+    sorted_ = flat.take(order)
     starts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-    g, by = _sums(gradient, order % len(gradient), starts)
-    used = sorted_[starts[by]]
-    squares[used] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-    g *= (rate / np.sqrt(squares[used]))[:, None]
+    token = np.tile(np.arange(len(gradient), dtype=np.int32), len(rows)).take(order)
+    g, by = _sums(gradient, token, starts)
+    used = sorted_.take(starts.take(by))
+    total = squares.take(used) + np.einsum("ij,ij->i", g, g) / g.shape[1]
+    squares[used] = total
+    g *= (rate / np.sqrt(total))[:, None]
     weights[used] -= g
 
 
-def train_on(model: Model, leaf: np.ndarray, first: np.ndarray, squares: tuple[np.ndarray, np.ndarray], rate: float = RATE) -> None:
-    f, g = features(leaf, first)
-    flat_leaf = model.by_leaf.reshape(-1, LEAVES)
+def train_on(model: Model, word: np.ndarray, leaf: np.ndarray, first: np.ndarray, squares: np.ndarray, met: np.ndarray, rate: float = RATE) -> None:
+    """Takes the tokens in batches; met counts how often each row was used."""
+    found = features(word, leaf, first, model.shape)
+    for rows in found:
+        met += np.bincount(rows.ravel(), minlength=len(met))
     for at in range(0, len(leaf), BATCH):
         s = slice(at, at + BATCH)
-        kind, k = (leaf[s] // LEAVES).astype(np.int64), np.arange(len(leaf[s]))
-        z, y = model.logits(f[:, s], g[:, s], kind)
-        _descend(model.by_class, squares[0], f[:, s], _softmax_loss(z, k, kind), rate)
-        _descend(flat_leaf, squares[1], g[:, s] * CLASSES + kind, _softmax_loss(y, k, leaf[s] % LEAVES), rate)
+        row = np.arange(len(leaf[s]))
+        for level, node, branch in model.steps(leaf[s]):
+            rows = found[level][:, s]
+            _descend(model.weights, squares, rows, _softmax_loss(model.logits(rows, level, node), row, branch), rate)
 
 
-def train(texts: DataFrame, v: Vocabulary, gather: int = GATHER) -> Model:
-    """One pass of distributed gradient updates over all texts (column text)."""
-    spark = texts.sparkSession
-    start = Model.unigram(v.mass)
-    shared = spark.sparkContext.broadcast(pickle.dumps((v, start)))
-    wide = start.by_class.size
+def _learn(dealt: DataFrame, v: Vocabulary, start: Model) -> Model:
+    """start, moved by what the shards of dealt (text), one partition each, learn from it."""
+    shared = dealt.sparkSession.sparkContext.broadcast(pickle.dumps((v, start)))
+    width = start.shape.width
 
     def run(batches):
         known, model = pickle.loads(shared.value)
-        reader, n = Reader(known), 0
-        squares = (np.full(len(model.by_class), 1.0, np.float32), np.full(model.by_leaf.size // LEAVES, 1.0, np.float32))
+        began, reader = model.weights.copy(), Reader(known)
+        squares, met = np.ones(len(began), np.float32), np.zeros(len(began), np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                numbers, first = reader.tokens(b.column(0).slice(at, 1000).to_pylist())
-                train_on(model, reader.leaf[numbers], first, squares)
-                n += len(numbers)
-        if n:
-            change = np.r_[model.by_class.ravel(), model.by_leaf.ravel()]
-            at = np.flatnonzero(change)
-            for i in range(0, len(at), 1 << 16):
-                p = at[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(change[p].astype(np.float64) * n)], names=["at", "change"])
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([float(n)])], names=["at", "change"])
-
-    few = max(spark.sparkContext.defaultParallelism, -(-texts.rdd.getNumPartitions() // gather))
-    sums = texts.select("text").coalesce(few).mapInArrow(run, "at int, change double").groupBy("at").agg(F.sum("change").alias("change")).toArrow()
-    at, change = sums["at"].to_numpy(), sums["change"].to_numpy()
-    total = change[at < 0].sum()
-    if total:
-        flat = np.zeros(wide + start.by_leaf.size, np.float32)
-        flat[at[at >= 0]] = change[at >= 0] / total
-        start.by_class += flat[:wide].reshape(start.by_class.shape)
-        start.by_leaf += flat[wide:].reshape(start.by_leaf.shape)
+            for part in pieces(b, 0, 2_000_000):
+                numbers, first = reader.tokens(part.column(0).to_pylist())
+                train_on(model, reader.hash[numbers], reader.leaf[numbers], first, squares, met)
+        for at in range(0, len(began), TOGETHER):
+            n = met[at : at + TOGETHER]
+            if n.any():
+                change = (model.weights[at : at + TOGETHER] - began[at : at + TOGETHER]).astype(np.float16)
+                cols = [pa.array([at], pa.int32()), pa.array([n.tobytes()], pa.binary()), pa.array([change.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["at", "met", "change"])
+
+    def add(group: pa.Table) -> pa.Table:  # a row for each shard that met some of TOGETHER rows
+        n, total = 0, 0
+        for x, y in zip(group["met"], group["change"]):
+            own = np.frombuffer(x.as_py(), np.int64)
+            n, total = n + own, total + np.frombuffer(y.as_py(), np.float16).reshape(-1, width) * own[:, None].astype(np.float64)
+        mean = (total / np.maximum(n, 1)[:, None]).astype(np.float32)
+        return pa.table({"at": group["at"].slice(0, 1), "change": pa.array([mean.tobytes()], pa.binary())})
+
+    changes = dealt.mapInArrow(run, "at int, met binary, change binary")
+    for r in changes.groupBy("at").applyInArrow(add, "at int, change binary").toLocalIterator():
+        mean = np.frombuffer(r.change, np.float32).reshape(-1, width)
+        start.weights[r.at : r.at + len(mean)] += mean
+    shared.destroy()
     return start
 
 
+def train(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model:
+    """Distributed gradient updates over all texts (doc_id, text), each used once."""
+    model = Model.unigram(v.shape, v.mass)
+    h, g = row_keys("doc_id", "text")
+    each = -(-v.shape.shards // rounds)
+    own = texts.select("text", h.alias("h"), F.pmod(g, F.lit(rounds)).alias("round"))
+    for k in range(rounds):
+        # a shard's texts come in the order of their hash, whatever the files and the cluster
+        dealt = own.where(F.col("round") == k).repartition(each, "h").sortWithinPartitions("h").select("text")
+        model = _learn(dealt, v, model)
+    return model
+
+
 def score(docs: DataFrame, v: Vocabulary, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
     spark = docs.sparkSession
@@ -329,14 +410,14 @@ def score(docs: DataFrame, v: Vocabulary, model: Model, counts: DataFrame) -> Da
     def run(batches):
         known, m = pickle.loads(shared.value)
         reader, row = Reader(known), TaskContext.get().partitionId() << 33
-        with np.errstate(divide="ignore"):
-            log_mass = np.where(np.arange(NOTHING) >= OWN, np.log10(np.maximum(known.mass, 1)), 0.0)
+        own = known.shape.own
+        log_mass = np.where(np.arange(known.shape.leaves) >= own, np.log10(np.maximum(known.mass, 1)), 0.0)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                ids = b.column(0).slice(at, 1000)
-                numbers, first = reader.tokens(b.column(1).slice(at, 1000).to_pylist())
+            for part in pieces(b, 1, 2_000_000):
+                ids = part.column(0)
+                numbers, first = reader.tokens(part.column(1).to_pylist())
                 leaf, rank, log = reader.leaf[numbers], reader.rank[numbers], reader.log[numbers]
-                each = m.log_prob(leaf, first) / np.log(10) + np.where(leaf >= OWN, log, 0.0) - log_mass[leaf]
+                each = m.log_prob(reader.hash[numbers], leaf, first) / np.log(10) + np.where(leaf >= own, log, 0.0) - log_mass[leaf]
                 sums = [np.add.reduceat(x, first[:-1]) for x in (((rank >= 0) & (known.counts[rank] > 0)).astype(np.int64), log, each)]
                 rows = row + np.arange(len(ids))
                 row += len(ids)
@@ -348,9 +429,10 @@ def score(docs: DataFrame, v: Vocabulary, model: Model, counts: DataFrame) -> Da
                     where = np.repeat(rows, np.diff(first))[far]
                     pair, n = np.unique((where - rows[0]) * len(reader.leaf) + numbers[far], return_counts=True)
                     words = list(reader.number)
-                    cols = [pa.array(rows[0] + pair // len(reader.leaf)), pa.nulls(len(pair), ids.type), pa.array([words[i] for i in (pair % len(reader.leaf)).tolist()], pa.binary()), pa.array(n.astype(np.int64))]
-                    cols += [pa.array(np.zeros(len(pair), np.int64)), pa.array(np.zeros(len(pair))), pa.array(np.zeros(len(pair)))]
-                    yield pa.RecordBatch.from_arrays(cols, names=names)
+                    for k in range(0, len(pair), SLICE):
+                        p, zero = pair[k : k + SLICE], np.zeros(len(pair[k : k + SLICE]))
+                        cols = [pa.array(rows[0] + p // len(reader.leaf)), pa.nulls(len(p), ids.type), pa.array([words[i] for i in (p % len(reader.leaf)).tolist()], pa.binary()), pa.array(n[k : k + SLICE].astype(np.int64))]
+                        yield pa.RecordBatch.from_arrays([*cols, pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)], names=names)
 
     made = table(docs.select("doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, word binary, n long, known long, log_counts double, log_model double"))
     met = made.where("word is not null").select("row", "word", "n").join(counts.where("word is not null"), "word")
@@ -370,7 +452,9 @@ def score(docs: DataFrame, v: Vocabulary, model: Model, counts: DataFrame) -> Da
 
 def score_corpus(docs: DataFrame) -> DataFrame:
     """Learns from the documents that are not held out, and scores all."""
-    training = docs.where(~held_out(F.col("doc_id"))).select("text")
+    training = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
     counts = table(token_counts(training))
     v = vocabulary(counts)
-    return score(docs, v, train(training, v), counts)
+    out = table(score(docs, v, train(training, v), counts))
+    drop_table(docs.sparkSession, counts)
+    return out

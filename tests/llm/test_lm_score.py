@@ -38,31 +38,64 @@ def test_counts_beyond_the_broadcast_list_are_exact(spark):
     docs = spark.createDataFrame(rows, DOCS)
     counts = lm.token_counts(docs.where(~lm.held_out(docs["doc_id"]))).cache()
     v = lm.vocabulary(counts, known=5)
-    check(lm.score(docs, v, lm.Model.unigram(v.mass), counts).collect(), rows)
+    check(lm.score(docs, v, lm.Model.unigram(v.shape, v.mass), counts).collect(), rows)
 
 
 def test_probabilities_sum_to_one(spark):
-    """Over all words of the training texts and one unseen word per rare leaf, whatever came before."""
+    """Over all leaves, whatever came before; and a leaf's mass is that of its words and one unseen word."""
     rng = np.random.default_rng(0)
     rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.4, 60).clip(0, 3000))) for i in range(60)]
     docs = spark.createDataFrame(rows, DOCS)
     counts = lm.token_counts(docs).cache()
     v = lm.vocabulary(counts)
     model = lm.train(docs, v)
-    assert np.abs(model.by_class).max() > 0
-    for before in ([5, 9, 40], [lm.OWN + 3], []):
-        total = 0.0
-        for leaf in range(lm.NOTHING):
-            seq = np.array([*before, leaf], np.int32)
-            if v.mass[leaf]:
-                total += math.exp(model.log_prob(seq, np.array([0, len(seq)]))[-1])
-        empty = sum(math.exp(model.log_prob(np.array([*before, leaf], np.int32), np.array([0, len(before) + 1]))[-1]) for leaf in range(lm.NOTHING) if not v.mass[leaf])
-        assert abs(total + empty - 1) < 1e-4
+    n, own = v.shape.leaves, v.shape.own
+    assert np.abs(model.weights).max() > 0
+    for before in ([5, 9, 40], [own + 3], []):
+        k = len(before) + 1
+        leaf = np.c_[np.tile(np.array(before, np.int32), (n, 1)), np.arange(n, dtype=np.int32)]
+        word = np.c_[np.tile(np.array(before, np.uint32) + 77, (n, 1)), np.full(n, 5, np.uint32)]
+        each = model.log_prob(word.ravel(), leaf.ravel().astype(np.int32), np.arange(n + 1) * k).reshape(n, k)[:, -1]
+        assert abs(np.exp(each).sum() - 1) < 1e-4
     by_leaf = Counter()
     for r in counts.collect():
         if r.word is not None:
             by_leaf[v.leaf(bytes(r.word))] += r.c + 1
-    assert all(v.mass[leaf] == m + (leaf >= lm.OWN) for leaf, m in by_leaf.items())
+    assert all(v.mass[leaf] == m + (leaf >= own) for leaf, m in by_leaf.items())
+
+
+def test_the_model_grows_with_the_corpus_and_does_not_depend_on_the_cluster(spark):
+    small, large = lm.Shape.of(10**7, 10**6), lm.Shape.of(10**10, 10**8)
+    assert large.leaves > 8 * small.leaves and large.rows >= 8 * small.rows and large.shards > 8 * small.shards
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    v = lm.vocabulary(lm.token_counts(docs))
+    one, other = lm.train(docs.repartition(1), v), lm.train(docs.repartition(7), v)
+    assert np.allclose(one.weights, other.weights, atol=1e-6)
+
+
+def test_sparse_gradients_equal_dense_ones():
+    """One AdaGrad step of all levels against plain loops."""
+    shape = lm.Shape(4, 256, 2)
+    rng = np.random.default_rng(3)
+    model = lm.Model.unigram(shape, rng.uniform(1, 9, shape.leaves))
+    model.weights[:] = rng.normal(0, 0.3, model.weights.shape)
+    plain, squares = model.weights.copy().astype(float), np.ones(shape.rows)
+    leaf, word, first = rng.integers(0, 64, 300).astype(np.int32), rng.integers(0, 40, 300).astype(np.uint32), np.array([0, 100, 300])
+    found = lm.features(word, leaf, first, shape)
+    for level, node, branch in model.steps(leaf):
+        sums = np.zeros_like(plain)
+        for t in range(300):
+            z = model.bias[level][node[t]] + sum(plain[r] for r in found[level][:, t])
+            g = np.exp(z - z.max())
+            g /= g.sum()
+            g[branch[t]] -= 1
+            for r in found[level][:, t]:
+                sums[r] += g
+        squares += (sums**2).sum(1) / 4
+        plain -= lm.RATE * sums / np.sqrt(squares)[:, None]
+    own, met = np.ones(shape.rows, np.float32), np.zeros(shape.rows, np.int64)
+    lm.train_on(model, word, leaf, first, own, met)
+    assert np.allclose(model.weights, plain, atol=1e-4) and met.sum() == 3000
 
 
 def test_edge_cases(spark):
