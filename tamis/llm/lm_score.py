@@ -40,7 +40,7 @@ from .common import LOWER_BYTES, drop_table, row_keys, table
 from .grams import pieces
 
 KNOWN = 200_000
-BATCH, RATE = 4096, 0.2
+BATCH, RATE = 8192, 0.2
 #: Rounds of averaging, and rows of the table that travel together.
 ROUNDS, TOGETHER = 2, 256
 END = None
@@ -49,6 +49,8 @@ REMEMBERED = 200_000
 COUNTED, SLICE = 100_000, 20_000
 #: Occurrences of a row in a batch that are added one rank at a time; those beyond, of few rows, by segment.
 RANKS = 8
+#: Logits are kept within these bounds, far beyond what training reaches, so that sums of 32-bit exponentials stay finite.
+_MOST = np.float32(60)
 #: Before a text's first token.
 _START = 0x9E3779B9
 
@@ -64,7 +66,7 @@ class Shape:
     @classmethod
     def of(cls, tokens: int, distinct: int) -> Shape:
         width = max(8, -(-round((4 * distinct**0.5) ** (1 / 3)) // 4) * 4)
-        rows = 1 << max(10, round(np.log2(200 * max(tokens, 1) ** 0.4)))
+        rows = 1 << max(10, round(np.log2(100 * max(tokens, 1) ** 0.4)))
         return cls(width, rows, max(ROUNDS, round(tokens**0.5 / 450)))
 
     @property
@@ -281,14 +283,14 @@ class Model:
 
 
 def _log_softmax_at(z, row, col):
-    z -= z.max(1, keepdims=True)
+    np.clip(z, -_MOST, _MOST, out=z)
     own = z[row, col].astype(np.float64)
     np.exp(z, out=z)
     return own - np.log((z @ np.ones(z.shape[1], z.dtype)).astype(np.float64))
 
 
 def _softmax_loss(z, row, col):
-    z -= z.max(1, keepdims=True)
+    np.clip(z, -_MOST, _MOST, out=z)
     np.exp(z, out=z)
     z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     z[row, col] -= 1
@@ -335,7 +337,9 @@ def _descend(weights, squares, rows, gradient, rate):
     total = squares.take(used) + np.einsum("ij,ij->i", g, g) / g.shape[1]
     squares[used] = total
     g *= (rate / np.sqrt(total))[:, None]
-    weights[used] -= g
+    np.subtract(weights.take(used, 0), g, out=g)
+    whole = f"V{weights.itemsize * weights.shape[1]}"  # rows are put back as one element each
+    weights.view(whole)[used, 0] = g.view(whole)[:, 0]
 
 
 def train_on(model: Model, word: np.ndarray, leaf: np.ndarray, first: np.ndarray, squares: np.ndarray, met: np.ndarray, rate: float = RATE) -> None:
@@ -365,21 +369,22 @@ def _learn(dealt: DataFrame, v: Vocabulary, start: Model) -> Model:
                 numbers, first = reader.tokens(part.column(0).to_pylist())
                 train_on(model, reader.hash[numbers], reader.leaf[numbers], first, squares, met)
         for at in range(0, len(began), TOGETHER):
-            n = met[at : at + TOGETHER]
-            if n.any():
-                change = (model.weights[at : at + TOGETHER] - began[at : at + TOGETHER]).astype(np.float16)
-                cols = [pa.array([at], pa.int32()), pa.array([n.tobytes()], pa.binary()), pa.array([change.tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["at", "met", "change"])
+            on = np.flatnonzero(met[at : at + TOGETHER])
+            if len(on):
+                change = (model.weights[at + on] - began[at + on]).astype(np.float16)
+                cols = [pa.array([at], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (on.astype(np.uint8), met[at + on], change))]
+                yield pa.RecordBatch.from_arrays(cols, names=["at", "on", "met", "change"])
 
     def add(group: pa.Table) -> pa.Table:  # a row for each shard that met some of TOGETHER rows
-        n, total = 0, 0
-        for x, y in zip(group["met"], group["change"]):
-            own = np.frombuffer(x.as_py(), np.int64)
-            n, total = n + own, total + np.frombuffer(y.as_py(), np.float16).reshape(-1, width) * own[:, None].astype(np.float64)
+        n, total = np.zeros(TOGETHER, np.int64), np.zeros((TOGETHER, width))
+        for x, y, z in zip(group["on"], group["met"], group["change"]):
+            on, met = np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.int64)
+            n[on] += met
+            total[on] += np.frombuffer(z.as_py(), np.float16).reshape(-1, width) * met[:, None].astype(np.float64)
         mean = (total / np.maximum(n, 1)[:, None]).astype(np.float32)
         return pa.table({"at": group["at"].slice(0, 1), "change": pa.array([mean.tobytes()], pa.binary())})
 
-    changes = dealt.mapInArrow(run, "at int, met binary, change binary")
+    changes = dealt.mapInArrow(run, "at int, on binary, met binary, change binary")
     for r in changes.groupBy("at").applyInArrow(add, "at int, change binary").toLocalIterator():
         mean = np.frombuffer(r.change, np.float32).reshape(-1, width)
         start.weights[r.at : r.at + len(mean)] += mean
@@ -394,8 +399,9 @@ def train(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model:
     each = -(-v.shape.shards // rounds)
     own = texts.select("text", h.alias("h"), F.pmod(g, F.lit(rounds)).alias("round"))
     for k in range(rounds):
-        # a shard's texts come in the order of their hash, whatever the files and the cluster
-        dealt = own.where(F.col("round") == k).repartition(each, "h").sortWithinPartitions("h").select("text")
+        # a shard's texts come in the order of their hash, whatever the files and the cluster; a session that deals to more
+        # partitions doesn't make more shards
+        dealt = own.where(F.col("round") == k).repartition(each, "h").sortWithinPartitions("h").select("text").coalesce(each)
         model = _learn(dealt, v, model)
     return model
 
