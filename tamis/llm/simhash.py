@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, table
+from .common import LOWER_BYTES, row_keys, table
 from .components import components
 
 BITS = 64
@@ -82,34 +82,35 @@ def _csa(a, b, c):
 def near(fps: np.ndarray, vertical: np.ndarray, rows: np.ndarray, blocks: np.ndarray, valid: np.ndarray, radius: int) -> tuple:
     """(rows, blocks, words) of the pairs whose word has a bit for each lane of valid within radius bits of the row.
 
-    The counters hold distances up to 7 in three words; what exceeds them stays set in `over`.
+    The counters hold distances up to 2^n - 1 in n words, with n = 3 for radii up to 7; what exceeds them stays set in `over`.
     """
-    ones = twos = fours = over = np.zeros(len(rows), np.uint64)
+    count = [np.zeros(len(rows), np.uint64)] * max(3, radius.bit_length())
+    over = count[0]
     for at in range(0, BITS, 8):
         block, own = vertical[blocks, at : at + 8], fps[rows]
         d = [block[:, i] ^ (np.uint64(0) - ((own >> np.uint64(at + i)) & np.uint64(1))) for i in range(8)]
         for x, y in ((d[0], d[1]), (d[2], d[3]), (d[4], d[5]), (d[6], d[7])):
-            ones, carry = _csa(ones, x, y)
-            spill = twos & carry
-            twos = twos ^ carry
-            over = over | (fours & spill)
-            fours = fours ^ spill
-        beyond = over | _exceeds(ones, twos, fours, radius)
-        alive = valid & ~beyond
+            count[0], carry = _csa(count[0], x, y)
+            for k in range(1, len(count)):
+                count[k], carry = count[k] ^ carry, count[k] & carry
+            over = over | carry
+        alive = valid & ~(over | _exceeds(count, radius))
         on = alive != 0
         if not on.all():
-            rows, blocks, valid, ones, twos, fours, over, alive = (x[on] for x in (rows, blocks, valid, ones, twos, fours, over, alive))
+            rows, blocks, valid, over, alive = (x[on] for x in (rows, blocks, valid, over, alive))
+            count = [x[on] for x in count]
         if not len(rows):
             break
     return rows, blocks, alive if len(rows) else valid
 
 
-def _exceeds(ones, twos, fours, radius: int):
-    """Lanes whose three-bit count is over radius (0 to 7)."""
-    out, same = np.zeros_like(ones), ~np.zeros_like(ones)
-    for plane, bit in ((fours, radius >> 2 & 1), (twos, radius >> 1 & 1), (ones, radius & 1)):
-        out = out | (same & plane) if not bit else out
-        same = same & (plane if bit else ~plane)
+def _exceeds(count: list, radius: int):
+    """Lanes whose count, low bit first, is over radius."""
+    out, same = np.zeros_like(count[0]), ~np.zeros_like(count[0])
+    for k in reversed(range(len(count))):
+        bit = radius >> k & 1
+        out = out | (same & count[k]) if not bit else out
+        same = same & (count[k] if bit else ~count[k])
     return out
 
 
@@ -129,22 +130,20 @@ def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def link_sorted(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fp, fp) of a forest over the rows within radius bits in the same group; rows are sorted by group."""
+def pairs_sorted(fps: np.ndarray, group: np.ndarray, radius: int):
+    """(i, j) arrays of the rows i < j within radius bits in the same group, in order; rows are sorted by group, and all
+    pairs of an i come together."""
     n = len(fps)
-    if n < 2:
-        return fps[:0], fps[:0]
     change = np.flatnonzero(np.diff(group)) + 1
     starts, ends = np.r_[0, change], np.r_[change, n]
     end = np.repeat(ends, ends - starts)
     vertical, row = planes(fps), np.arange(n)
     first, last = (row + 1) // BLOCK, (end - 1) // BLOCK
     count = np.where(row + 1 < end, last - first + 1, 0)
-    label = row.copy()
     edges = np.r_[0, np.cumsum(count)]
-    at = 0
+    at, most = 0, AT_ONCE
     while at < n:
-        to = max(at + 1, int(np.searchsorted(edges, edges[at] + AT_ONCE, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + most, "right")) - 1)
         c = count[at:to]
         rows = np.repeat(row[at:to], c)
         blocks = np.arange(len(rows)) - np.repeat(edges[at:to] - edges[at], c) + np.repeat(first[at:to], c)
@@ -153,10 +152,24 @@ def link_sorted(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.nda
         ones = ~np.uint64(0)
         valid = (ones << low) & (ones >> (np.uint64(BLOCK) - high))
         rows, blocks, words = near(fps, vertical, rows, blocks, valid, radius)
-        for k in range(0, len(rows), 1 << 14):
-            w, lane = np.nonzero(np.unpackbits(np.ascontiguousarray(words[k : k + (1 << 14)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            _join(label, rows[k : k + (1 << 14)][w], blocks[k : k + (1 << 14)][w] * BLOCK + lane)
+        cut = np.r_[np.flatnonzero(np.diff(rows)) + 1, len(rows)]
+        k = 0
+        while k < len(rows):  # whole rows, about 2^14 words at a time
+            m = int(cut[min(np.searchsorted(cut, k + (1 << 14), "left"), len(cut) - 1)])
+            w, lane = np.nonzero(np.unpackbits(np.ascontiguousarray(words[k:m]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            yield rows[k:m][w], blocks[k:m][w] * BLOCK + lane
+            k = m
         at = to
+
+
+def link_sorted(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (fp, fp) of a forest over the rows within radius bits in the same group; rows are sorted by group."""
+    if len(fps) < 2:
+        return fps[:0], fps[:0]
+    row = np.arange(len(fps))
+    label = row.copy()
+    for i, j in pairs_sorted(fps, group, radius):
+        _join(label, i, j)
     moved = label != row
     return fps[moved], fps[label[moved]]
 
@@ -176,6 +189,38 @@ def scheme(n: int, radius: int) -> int:
     return choose
 
 
+def _dealt(keyed: DataFrame, split: int) -> DataFrame:
+    """keyed (band, key and more) with p, q: rows of a bucket that holds more than one; over `split` rows it is cut into
+    pieces, and each piece goes to a group (p, q) with every other one."""
+    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    k = F.ceil(F.col("n") / F.lit(split)).cast("int")
+    own = keyed.join(sizes, ["band", "key"]).withColumn("_k", k).withColumn("_piece", F.pmod(F.xxhash64(F.lit(3), "fp", *keyed.columns[:1]), F.col("_k")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_other")
+    return own.select(*keyed.columns, "_piece", other).select(*keyed.columns, F.least("_piece", "_other").alias("p"), F.greatest("_piece", "_other").alias("q"))
+
+
+def _by_groups(batches, columns: int, keys: slice):
+    """The columns of whole groups (rows with the same keys, side by side) as int64 arrays, with the number of each row's group."""
+    held: list = []
+
+    def grouped(cols):
+        k = np.stack(cols[keys], 1)
+        return cols, np.r_[0, np.cumsum((k[1:] != k[:-1]).any(1))]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(columns)])
+        cols = [np.concatenate(c) for c in zip(*held)]
+        k = np.stack(cols[keys], 1)
+        cut = len(k) - int(np.argmax((k[::-1] != k[-1]).any(1))) if (k[0] != k[-1]).any() else 0
+        if cut:
+            yield grouped([c[:cut] for c in cols])
+        held = [[c[cut:].copy() for c in cols]]
+    if held and len(held[0][0]):
+        yield grouped(held[0])
+
+
 def edges(classes: DataFrame, radius: int = 4, choose: int | None = None, split: int = SPLIT) -> DataFrame:
     """(u, v) long: a forest that links the distinct fingerprints (column fp) within radius bits."""
     if not 0 <= radius <= 7:
@@ -183,37 +228,12 @@ def edges(classes: DataFrame, radius: int = 4, choose: int | None = None, split:
     masks = _bands(radius, choose or scheme(classes.count(), radius))
     signed = [m - (1 << BITS) if m >> 63 else m for m in masks]
     keyed = classes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("band", "key"))
-    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    k = F.ceil(F.col("n") / F.lit(split)).cast("int")
-    piece = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
-    own = keyed.join(sizes, ["band", "key"]).withColumn("k", k).withColumn("piece", piece)
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
-    dealt = own.select("fp", "band", "key", "piece", other).select(
-        "fp", "band", "key", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q")
-    )
-    dealt = dealt.repartition("band", "key", "p", "q").sortWithinPartitions("band", "key", "p", "q", "fp")
+    dealt = _dealt(keyed, split).repartition("band", "key", "p", "q").sortWithinPartitions("band", "key", "p", "q", "fp")
 
     def run(batches):
-        held: list = []
-
-        def flush(cols):
-            keys = np.stack(cols[1:], 1)
-            group = np.r_[0, np.cumsum((keys[1:] != keys[:-1]).any(1))]
+        for cols, group in _by_groups(batches, 5, slice(1, 5)):
             u, v = link_sorted(cols[0].view(np.uint64), group, radius)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
-            cols = [np.concatenate(c) for c in zip(*held)]
-            keys = np.stack(cols[1:], 1)
-            cut = len(keys) - int(np.argmax((keys[::-1] != keys[-1]).any(1))) if (keys[0] != keys[-1]).any() else 0
-            if cut:
-                yield flush([c[:cut] for c in cols])
-            held = [[c[cut:].copy() for c in cols]]
-        if held and len(held[0][0]):
-            yield flush(held[0])
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     return dealt.select("fp", "band", "key", "p", "q").mapInArrow(run, "u long, v long")
 
@@ -235,11 +255,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", shingle: int = 4, r
     return prints.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _row_key():
+    """As a key of its own, a row stands for its component even where others share its doc_id or have none; null ids come last."""
+    r, q = row_keys("doc_id", "text")
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", r.alias("r"), q.alias("q")).alias("key")
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs that kept (r, q) names; repeated rows are one."""
+    r, q = row_keys("doc_id", "text")
+    own = kept.select(F.col("r").alias("_kr"), F.col("q").alias("_kq")).distinct()
+    met = docs.withColumn("_r", r).withColumn("_q", q).join(own, (F.col("_r") == F.col("_kr")) & (F.col("_q") == F.col("_kq")), "left_semi")
+    return met.dropDuplicates(["_r", "_q"]).drop("_r", "_q")
+
+
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """One row of docs for each component: of smallest doc_id, null last, then of smallest row hash; repeated rows are one."""
-    row = F.xxhash64("doc_id", "text")
-    # as a key of its own, a row stands for its component even where others share its doc_id or have none
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row.alias("row")).alias("key")
-    found = near_duplicates(docs.select(key, "text"), "key", shingle, radius)
-    kept = found.select(F.col("component_id.row").alias("_kept")).distinct()
-    return docs.withColumn("_row", row).join(kept, F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row"]).drop("_row")
+    found = near_duplicates(docs.select(_row_key(), "text"), "key", shingle, radius)
+    return _only(docs, found.select("component_id.r", "component_id.q"))
