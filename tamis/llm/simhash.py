@@ -131,8 +131,7 @@ def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def pairs_sorted(fps: np.ndarray, group: np.ndarray, radius: int):
-    """(i, j) arrays of the rows i < j within radius bits in the same group, in order; rows are sorted by group, and all
-    pairs of an i come together."""
+    """(i, j) arrays of the rows i < j within radius bits in the same group; rows are sorted by group."""
     n = len(fps)
     change = np.flatnonzero(np.diff(group)) + 1
     starts, ends = np.r_[0, change], np.r_[change, n]
@@ -141,9 +140,9 @@ def pairs_sorted(fps: np.ndarray, group: np.ndarray, radius: int):
     first, last = (row + 1) // BLOCK, (end - 1) // BLOCK
     count = np.where(row + 1 < end, last - first + 1, 0)
     edges = np.r_[0, np.cumsum(count)]
-    at, most = 0, AT_ONCE
+    at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(edges, edges[at] + most, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + AT_ONCE, "right")) - 1)
         c = count[at:to]
         rows = np.repeat(row[at:to], c)
         blocks = np.arange(len(rows)) - np.repeat(edges[at:to] - edges[at], c) + np.repeat(first[at:to], c)
@@ -152,26 +151,27 @@ def pairs_sorted(fps: np.ndarray, group: np.ndarray, radius: int):
         ones = ~np.uint64(0)
         valid = (ones << low) & (ones >> (np.uint64(BLOCK) - high))
         rows, blocks, words = near(fps, vertical, rows, blocks, valid, radius)
-        cut = np.r_[np.flatnonzero(np.diff(rows)) + 1, len(rows)]
-        k = 0
-        while k < len(rows):  # whole rows, about 2^14 words at a time
-            m = int(cut[min(np.searchsorted(cut, k + (1 << 14), "left"), len(cut) - 1)])
-            w, lane = np.nonzero(np.unpackbits(np.ascontiguousarray(words[k:m]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            yield rows[k:m][w], blocks[k:m][w] * BLOCK + lane
-            k = m
+        for k in range(0, len(rows), 1 << 14):
+            w, lane = np.nonzero(np.unpackbits(np.ascontiguousarray(words[k : k + (1 << 14)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            yield rows[k : k + (1 << 14)][w], blocks[k : k + (1 << 14)][w] * BLOCK + lane
         at = to
 
 
-def link_sorted(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fp, fp) of a forest over the rows within radius bits in the same group; rows are sorted by group."""
-    if len(fps) < 2:
-        return fps[:0], fps[:0]
+def linked_rows(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) rows: a forest over the rows within radius bits in the same group; rows are sorted by group."""
     row = np.arange(len(fps))
     label = row.copy()
-    for i, j in pairs_sorted(fps, group, radius):
-        _join(label, i, j)
-    moved = label != row
-    return fps[moved], fps[label[moved]]
+    if len(fps) > 1:
+        for i, j in pairs_sorted(fps, group, radius):
+            _join(label, i, j)
+    moved = np.flatnonzero(label != row)
+    return moved, label[moved]
+
+
+def link_sorted(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (fp, fp) of that forest."""
+    i, j = linked_rows(fps, group, radius)
+    return fps[i], fps[j]
 
 
 def _bands(radius: int, choose: int) -> list[int]:

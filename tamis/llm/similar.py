@@ -3,13 +3,13 @@
 Two texts are linked if the sets of their word shingles have a Jaccard similarity of `least` or more. One pass over the
 texts gives each its set (32-bit hashes), the set's SimHash fingerprint and BANDS keys, each of ROWS_PER_BAND least
 hashes; at a similarity of 0.8 a pair shares a key with a probability of 0.9992. Texts with the same set are one class.
-In a bucket, fingerprints meet bit-sliced (simhash.py) and pairs over RADIUS bits are dropped; at a similarity of 0.8
-the distance has a mean of 10 bits and a deviation of 3.
+In a bucket, fingerprints meet bit-sliced (simhash.py), and a forest over those within RADIUS bits leaves it; at a
+similarity of 0.8 the distance has a mean of 10 bits and a deviation of 3. The forests' components are candidates.
 
-The pairs that are left are not all made. They are tested in rounds: each class takes its next few partners in each
-bucket, and only those that are not yet linked to it by other pairs are checked on their sets and then joined. A round
-takes GROWTH times as many partners as all before, until no class has more; so a group of n copies of one text costs
-some n pairs, and every candidate pair is either checked or between classes that are linked anyway.
+Each set is then sent to its component once (one over PIECE bytes is cut into pieces that meet two by two), where the
+links are checked exactly: an inverted index of shingles gives a set's common shingles with all others at once. Sets
+that are linked need no further check against each other, so only those outside of the largest linked group are looked
+up: n copies of one text take one lookup. A forest of the checked links leaves the task, never all pairs.
 
 Defined results: null, empty and wordless texts are one class, texts of fewer words than a shingle are one shingle.
 """
@@ -25,13 +25,12 @@ from pyspark.sql import functions as F
 from .common import LOWER_BYTES, drop_table, table
 from .components import components
 from .grams import pieces
-from .simhash import BITS, SPLIT, _by_groups, _dealt, _only, _row_key, pairs_sorted
+from .simhash import BITS, SPLIT, _by_groups, _dealt, _join, _only, _row_key, linked_rows
 
 SHINGLE, LEAST = 5, 0.8
-BANDS, ROWS_PER_BAND, RADIUS = 10, 3, 24
-FIRST, GROWTH = 2, 8
-#: Pairs that one task of a join takes of the same class.
-HOT = 1000
+BANDS, ROWS_PER_BAND, RADIUS = 10, 3, 20
+#: Bytes of sets of a component that go to a task together.
+PIECE = 8_000_000
 
 
 def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -92,82 +91,89 @@ def sketches(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows: in
     return own.mapInArrow(run, f"key {kind}, r long, q long, fp long, bands array<long>, set binary")
 
 
-def _candidates(dealt: DataFrame, labels: DataFrame | None, low: int, high: int, radius: int) -> DataFrame:
-    """u, v (u > v): for each class u its partners number low to high - 1 in a bucket, smallest first, that don't have its
-    label; a row of nulls says that there are more."""
-    own = dealt.select("node", "fp", "band", "key", "p", "q")
-    if labels is None:
-        own = own.withColumn("label", F.col("node"))
-    else:
-        own = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("node", "fp", "band", "key", "p", "q", "label")
-    own = own.repartition("band", "key", "p", "q").sortWithinPartitions("band", "key", "p", "q", F.desc("node"))
+def _candidates(dealt: DataFrame, radius: int) -> DataFrame:
+    """u, v: a forest over the classes of each bucket whose fingerprints are within radius bits."""
+    own = dealt.select("node", "fp", "band", "key", "p", "q").repartition("band", "key", "p", "q").sortWithinPartitions("band", "key", "p", "q", "node")
 
     def run(batches):
-        for cols, group in _by_groups(batches, 7, slice(2, 6)):
-            if len(group) < 2:
-                continue
-            node, label, more = cols[0], cols[6], False
-            for i, j in pairs_sorted(cols[1].view(np.uint64), group, radius):
-                last = np.searchsorted(i, i, "right") - 1  # the partner of smallest node comes last
-                number = last - np.arange(len(i))
-                more |= bool((number >= high).any())
-                on = (number >= low) & (number < high) & (label[i] != label[j])
-                yield pa.RecordBatch.from_arrays([pa.array(node[i[on]]), pa.array(node[j[on]])], names=["u", "v"])
-            if more:
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2, names=["u", "v"])
-
-    return own.mapInArrow(run, "u long, v long").distinct()
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs whose sets (node, set) have that similarity. A class that many pairs name is sent to several tasks."""
-    named = pairs.groupBy("v").agg(F.count("*").alias("n")).select("v", F.ceil(F.col("n") / HOT).cast("int").alias("k"))
-    spread = pairs.join(named, "v").withColumn("s", F.pmod(F.xxhash64("u"), F.col("k")).cast("int"))
-    left = sets.select(F.col("node").alias("v"), F.col("set").alias("b")).join(named, "v").select("v", "b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("s"))
-    met = spread.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").select("u", "v", "s", "a").join(left, ["v", "s"]).select("u", "v", "a", "b")
+        for cols, group in _by_groups(batches, 6, slice(2, 6)):
+            i, j = linked_rows(cols[1].view(np.uint64), group, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0][i]), pa.array(cols[0][j])], names=["u", "v"])
+
+    return own.mapInArrow(run, "u long, v long")
+
+
+def similar_sets(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): a forest over the sets (sorted distinct numbers) whose Jaccard similarity is `least` or more."""
+    n, size = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    shingle = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    first = np.r_[0, np.cumsum(size)]
+    order = np.argsort(shingle, kind="stable")
+    owner = np.repeat(np.arange(n), size)[order]
+    posts = np.searchsorted(shingle[order], np.arange(int(shingle.max()) + 2 if len(shingle) else 1))
+    label, looked = np.arange(n), np.zeros(n, bool)
+    while True:
+        # every pair that is not linked has an end outside of the largest group
+        sizes = np.bincount(label, minlength=n)
+        left = np.flatnonzero((label != sizes.argmax()) & ~looked) if looked.any() else np.zeros(1, np.int64)
+        if not len(left):
+            break
+        i = int(left[0])
+        looked[i] = True
+        own = shingle[first[i] : first[i + 1]]
+        count = posts[own + 1] - posts[own]
+        end = np.cumsum(count)
+        at = np.arange(int(end[-1]) if len(end) else 0) + np.repeat(posts[own] - end + count, count)
+        both = np.bincount(owner[at], minlength=n)
+        near = np.flatnonzero(both >= least * (size[i] + size - both) - 1e-9)
+        near = near[label[near] != label[i]]
+        _join(label, np.full(len(near), i), near)
+    moved = np.flatnonzero(label != np.arange(n))
+    return moved, label[moved]
+
+
+def _verified(dealt: DataFrame, least: float) -> DataFrame:
+    """u, v: a forest of the links between the sets of each group (root, p, q)."""
+    own = dealt.select("node", "set", "root", "p", "q").repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "node")
 
     def run(batches):
-        for batch in batches:
-            for part in pieces(batch, 2, 4_000_000):
-                on = []
-                for x, y in zip(part.column(2), part.column(3)):
-                    x, y = (np.frombuffer(z.as_py(), np.uint32) for z in (x, y))
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    on.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-                yield pa.RecordBatch.from_arrays([x.filter(pa.array(on, pa.bool_())) for x in part.columns[:2]], names=["u", "v"])
+        def out():
+            if len(nodes) > 1:
+                i, j = similar_sets(sets, least)
+                node = np.array(nodes, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["u", "v"])
+
+        nodes, sets, now = [], [], None
+        for b in batches:
+            keys = list(zip(*(b.column(k).to_pylist() for k in (2, 3, 4))))
+            for node, x, key in zip(b.column(0).to_pylist(), b.column(1), keys):
+                if key != now:
+                    yield from out()
+                    nodes, sets, now = [], [], key
+                nodes.append(node)
+                sets.append(np.frombuffer(x.as_py(), np.uint32))
+        yield from out()
 
-    return met.mapInArrow(run, "u long, v long")
+    return own.mapInArrow(run, "u long, v long")
 
 
-def classes(docs: DataFrame, width: int = SHINGLE, least: float = LEAST, bands: int = BANDS, rows: int = ROWS_PER_BAND, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
+def classes(docs: DataFrame, width: int = SHINGLE, least: float = LEAST, bands: int = BANDS, rows: int = ROWS_PER_BAND, radius: int = RADIUS, split: int = SPLIT, piece: int = PIECE) -> DataFrame:
     """key, component (the smallest key that can be reached) of every row of docs. key: of the row, see simhash.keep_one."""
     spark = docs.sparkSession
     made = table(sketches(docs, width, bands, rows))
     # the texts of one set are summed before anything else; a class is numbered once it is written
     own = table(made.groupBy("r", "q").agg(F.min("key").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
-    dealt = table(_dealt(own.select("node", "fp", F.posexplode("bands").alias("band", "key")), split))
-    some = dealt.select("node").distinct()
-    sets = table(some.join(own.select("node", "r", "q", "least"), "node").join(made.select("r", "q", F.col("key").alias("least"), "set"), ["r", "q", "least"]).groupBy("node").agg(F.first("set").alias("set")))
-    labels, low, high = None, 0, FIRST
-    while True:
-        found = table(_candidates(dealt, labels, low, high, radius))
-        linked = _verified(found.where("u is not null"), sets, least)
-        if labels is not None:
-            linked = linked.unionAll(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))
-        now = table(components(linked).withColumnRenamed("root", "label"))
-        more = found.where("u is null").limit(1).count()
-        for old in (found, labels):
-            if old is not None:
-                drop_table(spark, old)
-        labels = now
-        if not more:
-            break
-        low, high = high, high * GROWTH
-    rooted = own.select("r", "q", "node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = rooted.groupBy("label").agg(F.min("least").alias("component"))
-    # one row per class meets the rows of its texts
-    out = table(made.select("key", "r", "q").join(table(rooted.join(named, "label").select("r", "q", "component")), ["r", "q"]).select("key", "component"))
-    for old in (made, own, dealt, sets, labels):
+    near = components(_candidates(_dealt(own.select("node", "fp", F.posexplode("bands").alias("band", "key")), split), radius))
+    sets = table(near.join(own.select("node", "r", "q", "least"), "node").join(made.select("r", "q", F.col("key").alias("least"), "set"), ["r", "q", "least"]).groupBy("node", "root").agg(F.first("set").alias("set")))
+    k = F.ceil(F.sum(F.length("set") + 64) / piece).cast("int").alias("_k")
+    cut = sets.join(sets.groupBy("root").agg(k), "root").withColumn("_piece", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_other")
+    dealt = cut.select("node", "set", "root", "_piece", other).withColumn("p", F.least("_piece", "_other")).withColumn("q", F.greatest("_piece", "_other"))
+    labels = components(_verified(dealt, least)).withColumnRenamed("root", "label")
+    rooted = table(own.select("r", "q", "node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    named = rooted.join(rooted.groupBy("label").agg(F.min("least").alias("component")), "label").select("r", "q", "component")
+    out = table(made.select("key", "r", "q").join(named, ["r", "q"]).select("key", "component"))
+    for old in (made, own, sets, rooted):
         drop_table(spark, old)
     return out
 

@@ -54,13 +54,27 @@ def test_components_equal_brute_force(spark):
     assert pairs > 60
     missed = [i for i in want if got[i] != want[i]]
     assert not missed
-    cut = {r.key.doc_id: r.component.doc_id for r in similar.classes(spark.createDataFrame(rows, DOCS), split=5).collect()}
+    cut = {r.key.doc_id: r.component.doc_id for r in similar.classes(spark.createDataFrame(rows, DOCS), split=5, piece=3000).collect()}
     assert cut == want
 
 
-def test_a_large_group_links_through_rounds(spark, monkeypatch):
-    """Copies that are alike to the first text only are found whatever their number."""
+def test_links_of_sets_match_the_plain_rule():
     rng = np.random.default_rng(5)
+    base = np.arange(200)
+    sets = [base] + [np.unique(np.r_[np.delete(base, (i * 5) % 200), 1000 + i, 5000 + i]) for i in range(1, 60)]
+    sets += [np.unique(rng.integers(0, 300, rng.integers(1, 90))) for _ in range(60)] + [np.zeros(0, np.int64)] * 2
+    for least in (0.5, 0.8, 0.98):
+        i, j = similar.similar_sets(sets, least)
+        root = list(range(len(sets)))
+        want = list(range(len(sets)))
+        for parts, pairs in ((root, zip(i.tolist(), j.tolist())), (want, ((a, b) for a in range(len(sets)) for b in range(a) if len(set(sets[a]) & set(sets[b])) >= least * len(set(sets[a]) | set(sets[b])) - 1e-9))):
+            for a, b in pairs:
+                x, y = sorted((parts[a], parts[b]))
+                parts[:] = [x if k == y else k for k in parts]
+        assert root == want
+
+
+def test_texts_that_are_alike_to_one_text_only(spark):
     base = [f"w{x}" for x in range(200)]
     rows = [(0, " ".join(base))]
     for i in range(1, 40):
@@ -70,7 +84,6 @@ def test_a_large_group_links_through_rounds(spark, monkeypatch):
         rows.append((i, " ".join(own)))
     got = {r.key.doc_id: r.component.doc_id for r in similar.classes(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == brute(rows)[0]
-    rng.shuffle(rows)
 
 
 def test_keep_one(spark):
