@@ -34,8 +34,10 @@ def special_chars(t: Column) -> Column:
 
 
 def trigram_repetition(w: Column, least: int = 15) -> Column:
-    """1 - distinct / all word trigrams; null under `least` words."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.slice(w, i, 3))
+    """1 - distinct / all word trigrams; null under `least` words. A trigram is its words joined by blanks, which no word
+    has: strings are told apart by hashing, where arrays would be compared pair by pair."""
+    last = F.size(w) - 3
+    grams = F.transform(F.slice(w, 1, F.greatest(last + 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1), F.lit(" "), F.get(w, i + 2)))
     return F.when(F.size(w) >= least, 1.0 - F.size(F.array_distinct(grams)) / (F.size(w) - 2))
 
 
@@ -50,9 +52,10 @@ def typographic_artifacts(t: Column) -> Column:
 
 def search_tokens(t: Column) -> Column:
     """Lower-case runs of ASCII letters, digits and Hangul syllables; long ones with Hangul also give their 2-grams."""
-    tokens = F.regexp_extract_all(F.lower(t), F.lit("([0-9a-zA-Z가-힣]+)"), 1)
+    tokens = F.filter(F.split(F.lower(t), "[^0-9a-zA-Z가-힣]+"), lambda x: x != "")
     pairs = lambda x: F.transform(F.sequence(F.lit(1), F.char_length(x) - 1), lambda i: F.substring(x, i, 2))
-    return F.flatten(F.transform(tokens, lambda x: F.when((F.char_length(x) >= 3) & x.rlike("[가-힣]"), F.concat(F.array(x), pairs(x))).otherwise(F.array(x))))
+    grams = F.flatten(F.transform(tokens, lambda x: F.when((F.char_length(x) >= 3) & x.rlike("[가-힣]"), F.concat(F.array(x), pairs(x))).otherwise(F.array(x))))
+    return F.when(t.rlike("[가-힣]"), grams).otherwise(tokens)  # most texts have no Hangul and need no second look
 
 
 def length_bin(n: Column) -> Column:

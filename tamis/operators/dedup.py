@@ -18,6 +18,10 @@ from ..plans.storage import written
 from ..settings import DEFAULTS, Settings
 
 
+#: Rows of a bucket that one group compares.
+BUCKET = 2048
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """rep (smallest doc_id), text, n of each distinct text; null is empty."""
     return docs.select("doc_id", T.text_of("text").alias("text")).groupBy("text").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
@@ -31,6 +35,12 @@ def members(docs: DataFrame) -> DataFrame:
     return own.join(rep, ["h", "g"]).select("doc_id", "rep")
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """doc_id, text of one document for each distinct text, the one of least id."""
+    reps = members(docs).select(F.col("rep").alias("doc_id")).distinct()
+    return docs.select("doc_id", T.text_of("text").alias("text")).join(reps, "doc_id", "left_semi")
+
+
 def bands_for(jaccard: float, permutations: int) -> tuple[int, int]:
     """(bands, rows) whose false positives and negatives, weighed alike, are least."""
     x = np.linspace(0, 1, 1001)
@@ -71,62 +81,116 @@ def shingle_sets(docs: DataFrame, k: int = DEFAULTS.shingle) -> DataFrame:
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, shingles array<long>")
 
 
-def band_keys(sets: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """doc_id, band, bucket: the MinHash signature cut into bands; no rows for an empty set."""
+def signatures(sets: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """doc_id, signature (least hashes as bytes) and keys (one for each band): no rows for an empty set."""
     bands, rows = bands_for(s.jaccard, s.permutations)
     rng = np.random.default_rng(1)
-    a = rng.integers(1, 1 << 62, bands * rows, dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, 1 << 62, bands * rows, dtype=np.uint64)
+    a = rng.integers(1, 1 << 62, max(bands * rows, s.permutations), dtype=np.uint64) | np.uint64(1)
 
     def run(batches):
         fold = np.random.default_rng(2).integers(1, 1 << 62, rows, dtype=np.uint64) | np.uint64(1)
         for batch in batches:
-            ids, keys = [], []
+            ids, made, keys = [], [], []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                h = x.values.to_numpy().view(np.uint64) if x.as_py() else np.zeros(0, np.uint64)
+                h = x.values.to_numpy().view(np.uint64) if x.as_py() is not None else np.zeros(0, np.uint64)
                 if not len(h):
                     continue
-                least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-                for at in range(0, len(h), 4096):
-                    mixed = h[at : at + 4096, None] * a + b
+                least, mixed = np.empty(len(a), np.uint64), np.empty_like(h)
+                for k, f in enumerate(a):  # one permutation at a time: a text's hashes stay in the cache
+                    np.multiply(h, f, out=mixed)
                     mixed ^= mixed >> np.uint64(31)
-                    np.minimum(least, (mixed * np.uint64(0x9E3779B97F4A7C15)).min(0), out=least)
+                    least[k] = mixed.min()
                 ids.append(i)
-                keys.append((least.reshape(bands, rows) * fold).sum(1, dtype=np.uint64).view(np.int64))
+                made.append(least.tobytes())
+                keys.append((least[: bands * rows].reshape(bands, rows) * fold).sum(1, dtype=np.uint64).view(np.int64))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             ends = np.arange(len(ids) + 1, dtype=np.int32) * bands
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "keys"])
+            cols = [pa.array(ids, batch.column(0).type), pa.array(made, pa.binary()), pa.ListArray.from_arrays(ends, flat)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "signature", "keys"])
+
+    return sets.mapInArrow(run, f"doc_id {sets.schema['doc_id'].dataType.simpleString()}, signature binary, keys array<long>")
+
 
-    made = sets.mapInArrow(run, f"doc_id {sets.schema['doc_id'].dataType.simpleString()}, keys array<long>")
-    return made.select("doc_id", F.posexplode("keys").alias("band", "bucket"))
+def _bucket_pairs(signed: DataFrame, split: int = BUCKET) -> DataFrame:
+    """a, b (a < b) that share a bucket, once. A bucket over `split` rows is cut into pieces that meet two by two, so no task takes more."""
+    keys = signed.select("doc_id", F.posexplode("keys").alias("band", "bucket"))
+    sizes = keys.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    k = F.ceil(F.col("n") / F.lit(split)).cast("int")
+    own = keys.join(sizes, ["band", "bucket"]).withColumn("k", k).withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
+    dealt = own.select("doc_id", "band", "bucket", "piece", other).select(
+        "doc_id", "band", "bucket", "piece", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q")
+    )
+    group = ["band", "bucket", "p", "q"]
+    left, right = dealt.select(F.col("doc_id").alias("a"), *group, F.col("piece").alias("pa")), dealt.select(F.col("doc_id").alias("b"), *group, F.col("piece").alias("pb"))
+    # rows of one piece meet in the piece's own group only
+    return left.join(right, group).where("a < b and (p = q or pa <> pb)").select("a", "b").distinct()
 
 
 def minhash_candidates(docs: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """a, b (a < b) representatives that share a bucket."""
-    reps = classes(docs).select(F.col("rep").alias("doc_id"), "text")
-    keys = band_keys(shingle_sets(reps, s.shingle), s)
-    other = keys.select(F.col("doc_id").alias("b"), "band", "bucket")
-    return keys.select(F.col("doc_id").alias("a"), "band", "bucket").join(other, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
+    """a, b (a < b) representatives of distinct texts that share a bucket, and estimated_jaccard, the share of equal least hashes."""
+    return _candidates(_signed(docs, s), s)
+
+
+def _signed(docs: DataFrame, s: Settings) -> DataFrame:
+    """The signatures of representatives. Texts are read where they lie; only signatures meet the ids that stay."""
+    reps = members(docs).select(F.col("rep").alias("doc_id")).distinct()
+    return written(signatures(shingle_sets(docs, s.shingle), s).join(reps, "doc_id", "left_semi"))
+
+
+def _candidates(signed: DataFrame, s: Settings) -> DataFrame:
+    x, y = (signed.select(F.col("doc_id").alias(i), F.col("signature").alias(f"_{i}")) for i in "ab")
+    met = _bucket_pairs(signed).join(x, "a").join(y, "b")
+
+    def run(batches):
+        for batch in batches:
+            same = [float((np.frombuffer(u.as_py(), np.uint64) == np.frombuffer(v.as_py(), np.uint64)).mean()) for u, v in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.float64())], names=["a", "b", "estimated_jaccard"])
+
+    return met.select("a", "b", "_a", "_b").mapInArrow(run, f"{_ends(signed)}, estimated_jaccard double")
 
 
 def jaccard_pairs(docs: DataFrame, least: float = 0.8, s: Settings = DEFAULTS) -> DataFrame:
     """a, b, score: candidates whose shingle sets have that Jaccard similarity; sets meet by id, texts don't."""
-    reps = classes(docs).select(F.col("rep").alias("doc_id"), "text")
-    sets = written(shingle_sets(reps, s.shingle))
-    keys = band_keys(sets, s)
-    other = keys.select(F.col("doc_id").alias("b"), "band", "bucket")
-    pairs = keys.select(F.col("doc_id").alias("a"), "band", "bucket").join(other, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
-    met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return met.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("score")).where(F.col("score") >= least)
+    reps = members(docs).select(F.col("rep").alias("doc_id")).distinct()
+    sets = written(shingle_sets(docs, s.shingle).join(reps, "doc_id", "left_semi"))
+    pairs = _bucket_pairs(written(signatures(sets, s).select("doc_id", "keys")))
+    x, y = (sets.select(F.col("doc_id").alias(i), F.col("shingles").alias(f"_{i}")) for i in "ab")
+
+    def run(batches):
+        for batch in batches:
+            score = np.zeros(batch.num_rows)
+            for k, (u, v) in enumerate(zip(batch.column(2), batch.column(3))):
+                u, v = u.values.to_numpy(), v.values.to_numpy()
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                score[k] = both / (len(u) + len(v) - both)
+            on = pa.array(score >= least)
+            yield pa.RecordBatch.from_arrays([*(c.filter(on) for c in batch.columns[:2]), pa.array(score).filter(on)], names=["a", "b", "score"])
+
+    met = pairs.join(x, "a").join(y, "b").select("a", "b", "_a", "_b")
+    return met.mapInArrow(run, f"{_ends(sets)}, score double")
+
+
+def _ends(rows: DataFrame) -> str:
+    return ", ".join(f"{i} {rows.schema['doc_id'].dataType.simpleString()}" for i in "ab")
 
 
 def two_stage_pairs(docs: DataFrame, vectors: DataFrame, threshold: float, s: Settings = DEFAULTS) -> DataFrame:
     """a, b, score: MinHash candidates whose vectors (doc_id, embedding) have that cosine."""
-    x = vectors.select(F.col("doc_id").alias("a"), F.col("embedding").alias("x"))
-    y = vectors.select(F.col("doc_id").alias("b"), F.col("embedding").alias("y"))
-    met = minhash_candidates(docs, s).join(x, "a").join(y, "b")
-    return met.select("a", "b", V.cosine(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= threshold)
+    x, y = (vectors.select(F.col("doc_id").alias(i), F.col("embedding").alias(f"_{i}")) for i in "ab")
+    met = _bucket_pairs(_signed(docs, s)).join(x, "a").join(y, "b").select("a", "b", "_a", "_b")
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                u, v = (np.stack(part.column(k).to_numpy(zero_copy_only=False)).astype(np.float64) for k in (2, 3))
+                size = np.linalg.norm(u, axis=1) * np.linalg.norm(v, axis=1)
+                score = np.einsum("ij,ij->i", u, v) / np.where(size == 0, 1, size)
+                on = pa.array(score >= threshold)
+                yield pa.RecordBatch.from_arrays([*(c.filter(on) for c in part.columns[:2]), pa.array(score).filter(on)], names=["a", "b", "score"])
+
+    return met.mapInArrow(run, f"{_ends(vectors)}, score double")
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float, id_col: str = "doc_id", block: int = 2048) -> DataFrame:
@@ -177,8 +241,12 @@ def clusters(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"clusters did not settle in {most_rounds} rounds")
-    roots = labels.select("label").distinct()
-    number = roots.select("label", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("long").alias("cluster_id"))
+    # numbered by ranges: each part counts its own roots and starts where the parts before it end
+    roots = written(labels.select("label").distinct().repartitionByRange("label").select("label", F.spark_partition_id().alias("part")))
+    sizes = roots.groupBy("part").agg(F.count("*").alias("n"))
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))  # a row for each part
+    place = (F.row_number().over(Window.partitionBy("part").orderBy("label")) - 1).alias("place")
+    number = roots.select("label", "part", place).join(F.broadcast(starts), "part").select("label", (F.col("start") + F.col("place")).alias("cluster_id"))
     return labels.join(number, "label").select(F.col("a").alias("doc_id"), "cluster_id")
 
 

@@ -56,8 +56,7 @@ def scan(docs: DataFrame, provider: embed.Provider | None = None, method: str =
     if method == "jaccard":
         pairs = dedup.jaccard_pairs(docs, least, s)
     else:
-        reps = dedup.classes(docs).select(F.col("rep").alias("doc_id"), "text")
-        vectors = written(p.embed(reps))
+        vectors = written(p.embed(dedup.representatives(docs)))
         pairs = dedup.two_stage_pairs(docs, vectors, least, s) if method == "two_stage" else dedup.cosine_pairs(vectors, least)
     pairs = written(pairs)
     return Scan(docs, written(quality.doc_stats(docs, s)), pairs, written(dedup.document_clusters(docs, pairs)), s)

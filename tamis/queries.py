@@ -146,13 +146,12 @@ def jaccard_pairs(spark, d):
 
 
 def minhash_candidates(spark, d):
-    return dedup.minhash_candidates(_docs(spark, d))
+    return _rounded(dedup.minhash_candidates(_docs(spark, d)))
 
 
 def two_stage_pairs(spark, d):
     docs, p = _docs(spark, d), embed.provider("hashed")
-    reps = dedup.classes(docs).select(F.col("rep").alias("doc_id"), "text")
-    return _rounded(dedup.two_stage_pairs(docs, written(p.embed(reps)), p.duplicate_threshold))
+    return _rounded(dedup.two_stage_pairs(docs, written(p.embed(dedup.representatives(docs))), p.duplicate_threshold))
 
 
 def cosine_pairs(spark, d):
@@ -203,7 +202,7 @@ def bm25_tokens(spark, d):
 
 def postings_stats(spark, d):
     docs = _docs(spark, d)
-    return _rounded(retrieval.term_statistics(retrieval.postings(docs), retrieval.document_lengths(docs)))
+    return _rounded(retrieval.term_statistics(written(retrieval.tokenised(docs))))
 
 
 def bm25_topk(spark, d):
