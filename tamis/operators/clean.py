@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.storage import written
 from ..settings import DEFAULTS, Settings
 from . import quality
 
@@ -33,7 +34,8 @@ def decide(docs: DataFrame, strategy: str = "moderate", clusters: DataFrame | No
         return docs.select("doc_id").join(gone, "doc_id", "left")
     names = ["too_short"] if strategy == "moderate" else ["too_short", "low_word_count", "high_special_char_ratio"]
     found = F.filter(quality.issue_array(s), lambda x: x["issue_type"].isin(names))
-    stats = quality.doc_stats(docs, s).select("doc_id", F.get(F.transform(found, lambda x: x["issue_type"]), 0).alias("issue"))
+    # written once: a filter on the reason would else be pushed down and have every fact of a text computed again
+    stats = written(quality.doc_stats(docs, s).select("doc_id", F.get(F.transform(found, lambda x: x["issue_type"]), 0).alias("issue")))
     if clusters is None:
         return stats.select("doc_id", F.col("issue").alias("reason"))
     keep = cleanest(docs, clusters)

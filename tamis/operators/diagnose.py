@@ -26,6 +26,17 @@ def distractors(displaced: DataFrame, n: int | None = None) -> DataFrame:
     return found if n is None else found.orderBy(F.desc("displacements"), "doc_id").limit(n)
 
 
+def distractor_classes(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, displacements, doc_class ("unknown" without a label) of distractors."""
+    met = found.select("doc_id", "displacements").join(labels.select("doc_id", "doc_class"), "doc_id", "left")
+    return met.select("doc_id", "displacements", F.coalesce("doc_class", F.lit("unknown")).alias("doc_class"))
+
+
+def class_counts(labels: DataFrame) -> DataFrame:
+    """doc_class, n."""
+    return labels.groupBy("doc_class").agg(F.count("*").alias("n"))
+
+
 def present_qrels(qrels: DataFrame, corpus: DataFrame) -> DataFrame:
     """The answers that the corpus still has."""
     return qrels.select("query_id", "doc_id").join(corpus.select("doc_id"), "doc_id", "left_semi").select("query_id", "doc_id")

@@ -44,6 +44,15 @@ def average(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     return scores.groupBy(*(by or [])).agg(*(F.round(F.coalesce(F.avg(m), F.lit(0.0)), 6).alias(m) for m in METRICS))
 
 
+def summary(hits: DataFrame, qrels: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """k and the means at 4 places, as reports show them. Lists of queries and answers that don't fit are an error."""
+    stray = qrels.select("query_id").distinct().join(queries.select("query_id"), "query_id", "left_anti").first()
+    if stray:
+        raise ValueError(f"there are answers to a query that isn't asked: {stray.query_id!r}")
+    means = average(per_query(hits, qrels, queries, k))
+    return means.select(F.lit(k).alias("k"), *(F.round(m, 4).alias(m) for m in METRICS))
+
+
 def at_many_k(hits: DataFrame, qrels: DataFrame, queries: DataFrame, ks=KS) -> DataFrame:
     """k and the means at each k."""
     parts = [average(per_query(hits, qrels, queries, k)).select(F.lit(k).alias("k"), *METRICS) for k in ks]

@@ -36,7 +36,7 @@ _KEEP = r"keep AS (SELECT cluster_id, arg_min(c.doc_id, (len(regexp_extract_all(
 _TOKENS = "tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-zA-Z가-힣]+')) AS term FROM {docs})"
 
 
-def _bm25(docs: str = "documents", k: int = 10, name: str = "hits") -> str:
+def _bm25(docs: str = "documents", k: int = 10, name: str = "hits", asked: str = "benchmark") -> str:
     """Hits of the passages over the table docs, zero scores included. The test tables have no Hangul, so no 2-grams."""
     p = f"{name}_"
     return f"""
@@ -45,13 +45,14 @@ def _bm25(docs: str = "documents", k: int = 10, name: str = "hits") -> str:
 {p}len AS (SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-zA-Z가-힣]+')) AS dl FROM {docs}),
 {p}raw AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM {docs}) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM {p}tf GROUP BY term),
 {p}idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM {p}raw) ELSE raw END AS idf FROM {p}raw),
-{p}q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[0-9a-zA-Z가-힣]+')) AS term FROM benchmark),
+{p}q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[0-9a-zA-Z가-힣]+')) AS term FROM {asked}),
 {p}sum AS (SELECT query_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM {p}len)))) AS score
   FROM {p}q JOIN {p}tf USING (term) JOIN {p}idf USING (term) JOIN {p}len USING (doc_id) GROUP BY ALL),
-{p}all AS (SELECT b.item_id AS query_id, d.doc_id, round(coalesce(s.score, 0), 6) AS score FROM benchmark b CROSS JOIN {docs} d LEFT JOIN {p}sum s ON s.query_id = b.item_id AND s.doc_id = d.doc_id),
+{p}all AS (SELECT b.item_id AS query_id, d.doc_id, round(coalesce(s.score, 0), 6) AS score FROM {asked} b CROSS JOIN {docs} d LEFT JOIN {p}sum s ON s.query_id = b.item_id AND s.doc_id = d.doc_id),
 {name} AS (SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {p}all) WHERE rank <= {k})"""
 
 
+_OPENINGS = "openings AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS text FROM benchmark)"
 _QRELS = "qrels AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
@@ -86,6 +87,12 @@ size AS (SELECT rep, count(*) AS m FROM sh GROUP BY rep),
 common AS (SELECT x.rep AS a, y.rep AS b, count(*) AS c FROM sh x JOIN sh y ON x.g = y.g AND x.rep < y.rep GROUP BY ALL),
 pairs AS (SELECT a, b, c::DOUBLE / (p.m + q.m - c) AS score FROM common JOIN size p ON p.rep = a JOIN size q ON q.rep = b WHERE c::DOUBLE / (p.m + q.m - c) >= 0.8)"""
 
+#: Clusters over representatives of equal texts: linked ones, and those of several copies; members are all documents of them.
+_REACH_REP = """ends AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT rep, rep FROM texts WHERE n > 1),
+reach AS (SELECT DISTINCT a AS node, a AS seen FROM ends UNION SELECT r.node, e.b FROM reach r JOIN ends e ON e.a = r.seen),
+roots AS (SELECT node, min(seen) AS root FROM reach GROUP BY node),
+members AS (SELECT o.doc_id, root FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS rep FROM documents) o JOIN roots ON roots.node = o.rep)"""
+
 
 def _recommend(total: str, issues: str, quality: str) -> str:
     return f"""CASE WHEN {total} = 0 THEN NULL WHEN {issues} = 0 AND {quality} >= 0.8 THEN 'good: look for duplicates next' WHEN {issues}::DOUBLE / nullif({total}, 0) > 0.2 THEN 'many issues: clean aggressively'
@@ -125,7 +132,7 @@ FROM firsts f JOIN reasons r USING (doc_id) LEFT JOIN clusters c USING (doc_id)
 SELECT f.doc_id, CASE WHEN b.keep_id <> f.doc_id THEN 'duplicate' END AS reason FROM firsts f LEFT JOIN clusters c USING (doc_id) LEFT JOIN best b USING (cluster_id)""",
     "cleanest_copy": f"WITH {_FORMS}, {_CLUSTERS}, {_KEEP} SELECT cluster_id, keep_id FROM keep",
     "filter_by_length": "SELECT doc_id, CASE WHEN length(coalesce(text, '')) < 50 THEN 'too_short' WHEN length(text) > 2000 THEN 'too_long' END AS reason FROM documents",
-    "filter_by_quality_score": f"WITH {_STATS} SELECT doc_id, CASE WHEN char_count > 20 AND quality_score < 0.71 THEN 'low_quality' END AS reason FROM scored",
+    "filter_by_quality_score": f"WITH {_STATS} SELECT doc_id, CASE WHEN quality_score < 0.8 THEN 'low_quality' END AS reason FROM scored",
     "typographic_artifacts": r"SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '\s{2,}')) + len(regexp_extract_all(coalesce(html, ''), '\s[.!?,]')) AS artifacts FROM pages",
     "removal_breakdown": f"WITH {_STATS}, {_AGGRESSIVE} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM documents), 6) AS percent FROM reasons GROUP BY 1",
     "char_shingle_counts": r"""WITH s AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS s FROM documents)
@@ -147,8 +154,10 @@ SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITIO
     "bm25_tokens": f"WITH {_TOKENS.format(docs='documents')} SELECT doc_id, count(*) AS tokens, count(DISTINCT term) AS terms FROM tokens GROUP BY doc_id",
     "postings_stats": f"WITH {_bm25()} SELECT term, df, round(idf, 6) AS idf FROM hits_idf",
     "bm25_topk": f"WITH {_bm25()} SELECT query_id, rank, doc_id, score FROM hits",
-    "rrf_hybrid": f"""WITH short AS (SELECT * FROM documents WHERE length(text) <= 2000), {_bm25()}, {_bm25('short', name='other')},
-every AS (SELECT query_id, doc_id, 0 AS list, rank FROM hits UNION ALL SELECT query_id, doc_id, 1, rank FROM other),
+    "rrf_hybrid": f"""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), asked AS (SELECT doc_id AS item_id, text FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT id FROM v)), {_bm25(asked='asked')},
+s AS (SELECT q.id AS query_id, d.id AS doc_id, round(list_cosine_similarity(q.e, d.e), 6) AS score FROM v q CROSS JOIN v d WHERE q.id % 100 = 0),
+dense AS (SELECT query_id, rank, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10),
+every AS (SELECT query_id, doc_id, 0 AS list, rank FROM dense UNION ALL SELECT query_id, doc_id, 1, rank FROM hits),
 fused AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min((list, rank)) AS seen FROM every GROUP BY ALL)
 SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, doc_id) AS rank FROM fused) WHERE rank <= 10""",
     "rerank": f"""WITH {_bm25(k=20)}, q AS (SELECT DISTINCT query_id, term FROM hits_q), n AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1),
@@ -158,6 +167,7 @@ SELECT query_id, rank, doc_id, rerank_score AS score, original_score, rerank_sco
     "qrels": f"WITH {_QRELS} SELECT * FROM qrels",
     "query_metrics": f"WITH {_bm25()}, {_QRELS}, {_scores()} SELECT * FROM scores",
     "mean_metrics": f"WITH {_bm25()}, {_QRELS}, {_scores()} SELECT {_MEANS} FROM scores",
+    "metrics_summary": f"WITH {_bm25()}, {_QRELS}, {_scores()}, m AS (SELECT {_MEANS} FROM scores) SELECT 10 AS k, round(ndcg, 4) AS ndcg, round(hit_rate, 4) AS hit_rate, round(mrr, 4) AS mrr, round(precision, 4) AS precision, round(recall, 4) AS recall FROM m",
     "metrics_multi_k": _multi_k(),
     "compare_runs": f"{_TWO} SELECT s.query_id, " + ", ".join(f"s.{m} AS {m}_old, l.{m} AS {m}_new" for m in ("ndcg", "hit_rate", "mrr", "precision", "recall")) + " FROM scores s JOIN later l USING (query_id)",
     "improvement": f"{_TWO}, o AS (SELECT {_MEANS} FROM scores), n AS (SELECT {_MEANS} FROM later), rows AS ("
@@ -165,18 +175,46 @@ SELECT query_id, rank, doc_id, rerank_score AS score, original_score, rerank_sco
     + ") SELECT metric, old, new, round(CASE WHEN old = 0 THEN CASE WHEN new > 0 THEN 100.0 ELSE 0.0 END ELSE (new - old) / old * 100 END, 4) AS percent FROM rows",
     "ndcg_by_type": f"WITH {_bm25()}, {_QRELS}, {_scores()} SELECT CASE WHEN query_id % 2 = 0 THEN 'code' ELSE 'attribute' END AS query_type, round(avg(ndcg), 6) AS ndcg, count(*) AS queries FROM scores GROUP BY 1",
     "present_qrels": f"WITH {_KEPT}, {_QRELS} SELECT query_id, doc_id FROM qrels SEMI JOIN kept USING (doc_id)",
-    "answers_destroyed": f"WITH {_QRELS} SELECT query_id, count(*) AS answers, count(*) FILTER (length(d.text) > 3000) AS present FROM qrels JOIN documents d USING (doc_id) GROUP BY query_id HAVING present = 0",
-    "distractors": f"WITH {_bm25()}, {_QRELS}, {_DISPLACED} SELECT doc_id, count(*) AS displacements, string_agg(query_id::VARCHAR, ',' ORDER BY query_id) AS queries FROM displaced GROUP BY doc_id",
-    "top_distractors": f"WITH {_bm25()}, {_QRELS}, {_DISPLACED} SELECT doc_id, count(*) AS displacements FROM displaced GROUP BY doc_id ORDER BY displacements DESC, doc_id LIMIT 5",
-    "failure_classes": f"""WITH short AS (SELECT * FROM documents WHERE length(text) <= 3000), {_bm25('short')}, {_QRELS}, present AS (SELECT q.* FROM qrels q SEMI JOIN short s USING (doc_id))
+    "answers_destroyed": f"WITH {_STATS}, {_QRELS} SELECT query_id, count(*) AS answers, count(*) FILTER (quality_score >= 0.8) AS present FROM qrels JOIN scored USING (doc_id) GROUP BY query_id HAVING present = 0",
+    "distractors": f"WITH {_OPENINGS}, {_bm25(asked='openings')}, {_QRELS}, {_DISPLACED} SELECT doc_id, count(*) AS displacements, string_agg(query_id::VARCHAR, ',' ORDER BY query_id) AS queries FROM displaced GROUP BY doc_id",
+    "top_distractors": f"WITH {_OPENINGS}, {_bm25(asked='openings')}, {_QRELS}, {_DISPLACED} SELECT doc_id, count(*) AS displacements FROM displaced GROUP BY doc_id ORDER BY displacements DESC, doc_id LIMIT 5",
+    "failure_classes": f"""WITH {_STATS}, short AS (SELECT d.* FROM documents d JOIN scored USING (doc_id) WHERE quality_score >= 0.8), {_OPENINGS}, {_bm25('short', asked='openings')}, {_QRELS}, present AS (SELECT q.* FROM qrels q SEMI JOIN short s USING (doc_id))
 SELECT item_id AS query_id, CASE WHEN item_id NOT IN (SELECT query_id FROM present) THEN 'fp1_missing_content' WHEN item_id NOT IN (SELECT p.query_id FROM present p JOIN hits h ON h.query_id = p.query_id AND h.doc_id = p.doc_id) THEN 'fp2_missed_top_ranked' ELSE 'ok' END AS outcome FROM benchmark""",
     "fact_recall": f"""WITH {_bm25()}, {_QRELS}, {_LABELS}, wanted AS (SELECT DISTINCT query_id, topic_id FROM qrels JOIN classes USING (doc_id) WHERE topic_id <> 'none'),
 had AS (SELECT DISTINCT query_id, topic_id FROM hits JOIN classes USING (doc_id) WHERE answer_bearing)
 SELECT w.query_id, count(*) AS facts, count(h.topic_id) AS covered, round(count(h.topic_id)::DOUBLE / count(*), 6) AS fact_recall FROM wanted w LEFT JOIN had h ON h.query_id = w.query_id AND h.topic_id = w.topic_id GROUP BY w.query_id""",
     "removed_by_class": f"WITH {_QRELS}, {_LABELS}, {_STATS}, {_AGGRESSIVE} SELECT coalesce(doc_class, 'unknown') AS doc_class, count(*) AS removed FROM reasons LEFT JOIN classes USING (doc_id) WHERE reason IS NOT NULL GROUP BY 1",
-    "cleaning_attribution": f"""WITH {_FORMS}, dup AS (SELECT doc_id FROM labels WHERE toxic = 1), gone AS (SELECT doc_id, form FROM firsts WHERE doc_id <> first_id), kept AS (SELECT form FROM firsts WHERE doc_id = first_id)
+    "cleaning_attribution": f"""WITH {_FORMS}, dup AS (SELECT doc_id FROM documents QUALIFY doc_id <> min(doc_id) OVER (PARTITION BY coalesce(text, ''))), gone AS (SELECT doc_id, form FROM firsts WHERE doc_id <> first_id), kept AS (SELECT form FROM firsts WHERE doc_id = first_id)
 SELECT count(*) AS dup_removed, count(*) FILTER (doc_id IN (SELECT doc_id FROM dup) OR form IN (SELECT form FROM kept)) AS "right", count(*) FILTER (doc_id IN (SELECT doc_id FROM dup)) AS found, (SELECT count(*) FROM dup) AS true_dups,
 round(count(*) FILTER (doc_id IN (SELECT doc_id FROM dup) OR form IN (SELECT form FROM kept))::DOUBLE / nullif(count(*), 0), 6) AS dedup_precision,
 round(count(*) FILTER (doc_id IN (SELECT doc_id FROM dup))::DOUBLE / nullif((SELECT count(*) FROM dup), 0), 6) AS dedup_recall FROM gone""",
+    "distractor_classes": f"""WITH {_OPENINGS}, {_bm25(asked='openings')}, {_QRELS}, {_DISPLACED}, {_LABELS} SELECT doc_id, n AS displacements, coalesce(doc_class, 'unknown') AS doc_class
+FROM (SELECT doc_id, count(*) AS n FROM displaced GROUP BY doc_id) LEFT JOIN classes USING (doc_id)""",
+    "class_counts": f"WITH {_QRELS}, {_LABELS} SELECT doc_class, count(*) AS n FROM classes GROUP BY 1",
+    "removed_documents": f"WITH {_STATS}, {_AGGRESSIVE} SELECT doc_id, substring(t, 1, 100) AS text, reason FROM reasons JOIN scored USING (doc_id) WHERE reason IS NOT NULL",
+    "removal_percentages": f"""WITH {_STATS}, {_AGGRESSIVE} SELECT count(*) AS documents, round(count(*) FILTER (reason IS NULL) * 100.0 / count(*), 6) AS retained_percent,
+round((SELECT count(DISTINCT doc_id) FROM issues) * 100.0 / count(*), 6) AS issue_percent FROM reasons""",
+    "csv_documents": r"""WITH t AS (SELECT doc_id, lang, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents)
+SELECT doc_id, length(s) AS chars, md5(s) AS md5, lang FROM t WHERE s <> '' AND lower(s) <> 'nan'""",
+    "csv_ground_truth": f"WITH {_QRELS} SELECT query_id, doc_id FROM qrels",
+    "page_text": r"""SELECT page_id, regexp_replace(array_to_string(list_filter(list_transform(string_split(coalesce(html, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' '), ' +', ' ', 'g') AS text FROM pages""",
+    "vector_upsert": "SELECT vec_id AS doc_id, CASE WHEN vec_id % 3 = 0 THEN 'second' ELSE 'first' END AS tag FROM embeddings",
+    "unit_vectors": "SELECT vec_id AS doc_id, CASE WHEN list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS square FROM embeddings",
+    "query_prefix": "SELECT item_id AS query_id, 'query: ' || text AS text FROM benchmark",
+    "scan_summary": f"""WITH RECURSIVE {_SHINGLES}, {_REACH_REP}, {_STATS}, a AS (SELECT count(*) AS n, avg(quality_score) AS q, (SELECT count(*) FROM issues) AS i FROM scored),
+b AS (SELECT count(DISTINCT root) AS c, count(*) AS m FROM members)
+SELECT n AS total_documents, round(q, 6) AS avg_quality_score, i AS total_issues, c AS clusters, m AS total_duplicates, m - c AS unique_duplicates,
+round(0.4::DOUBLE * greatest(0, 1 - 2 * m::DOUBLE / n) + 0.4::DOUBLE * q + 0.2::DOUBLE * greatest(0, 1 - i::DOUBLE / n), 3) AS overall_quality, {_recommend('n', 'i', 'q')} AS recommendation FROM a, b""",
+    "scan_issues": f"""WITH RECURSIVE {_SHINGLES}, {_REACH_REP}, {_STATS} SELECT issue_type, count(*) AS n FROM issues GROUP BY 1
+UNION ALL SELECT 'duplicates', count(*) - count(DISTINCT root) FROM members""",
+    "scan_and_clean": rf"""WITH RECURSIVE {_SHINGLES}, {_REACH_REP},
+facts AS (SELECT doc_id, length(coalesce(text, '')) AS n, len(regexp_extract_all(coalesce(text, ''), '\s{{2,}}')) + len(regexp_extract_all(coalesce(text, ''), '\s[.!?,]')) AS a FROM documents),
+best AS (SELECT root, arg_min(doc_id, (a, f.n, doc_id)) AS keep_id FROM members JOIN facts f USING (doc_id) GROUP BY root)
+SELECT f.doc_id, CASE WHEN keep_id <> f.doc_id THEN 'duplicate' WHEN f.n < 10 THEN 'too_short' END AS reason FROM facts f LEFT JOIN members m USING (doc_id) LEFT JOIN best USING (root)""",
+    "dedup_first": f"WITH {_FORMS} SELECT doc_id, CASE WHEN doc_id <> first_id THEN 'duplicate' END AS reason FROM firsts",
+    "generated_classes": "SELECT * FROM (VALUES ('gold', 40::BIGINT), ('relevant', 40), ('related', 80), ('irrelevant', 20), ('exact_dup', 15), ('near_dup', 15), ('low_quality', 12)) AS t(doc_class, n)",
+    "heatmap": f"""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings),
+chosen AS (SELECT id, e FROM v WHERE n <= 50 OR place IN (SELECT floor(i * ((SELECT count(*) FROM embeddings) - 1)::DOUBLE / 49) FROM (SELECT unnest(range(50)) AS i)))
+SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 5) + 0.0::DOUBLE AS cosine FROM chosen a JOIN chosen b ON a.id <= b.id""",
     "chunk_estimate": "SELECT greatest(1, coalesce(sum(length(text)), 0) // 462)::BIGINT AS chunks FROM documents",
 }

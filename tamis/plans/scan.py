@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -47,16 +48,33 @@ class Scan:
         return clean.decide(self.docs, strategy, self.clusters, self.settings)
 
 
-def scan(docs: DataFrame, provider: embed.Provider | None = None, method: str = "two_stage", threshold: float | None = None, s: Settings = DEFAULTS) -> Scan:
-    """threshold: the caller's, else the provider's own."""
+def scan(
+    docs: DataFrame, provider: embed.Provider | None = None, method: str = "two_stage", threshold: float | None = None, s: Settings = DEFAULTS,
+    stats: Callable[[DataFrame, Settings], DataFrame] = quality.doc_stats, progress: Callable[[str, float], None] | None = None,
+) -> Scan:
+    """threshold: the caller's, else the provider's own. stats: what computes the facts of texts. progress: is told each
+    step and the share that is done; Spark's job descriptions name the steps as well."""
+
+    def step(name: str, done: float) -> None:
+        docs.sparkSession.sparkContext.setJobDescription(f"scan: {name}" if done < 1 else None)
+        if progress:
+            progress(name, done)
+
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
     p = provider or embed.provider("hashed")
     least = p.duplicate_threshold if threshold is None else threshold
+    step("duplicates", 0.0)
     if method == "jaccard":
         pairs = dedup.jaccard_pairs(docs, least, s)
     else:
         vectors = written(p.embed(dedup.representatives(docs)))
+        step("pairs", 0.3)
         pairs = dedup.two_stage_pairs(docs, vectors, least, s) if method == "two_stage" else dedup.cosine_pairs(vectors, least)
     pairs = written(pairs)
-    return Scan(docs, written(quality.doc_stats(docs, s)), pairs, written(dedup.document_clusters(docs, pairs)), s)
+    step("text quality", 0.6)
+    facts = written(stats(docs, s))
+    step("clusters", 0.8)
+    clusters = written(dedup.document_clusters(docs, pairs))
+    step("done", 1.0)
+    return Scan(docs, facts, pairs, clusters, s)

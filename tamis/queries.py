@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .functions import vectors as V
 from .operators import chunk, clean, dedup, diagnose, embed, metrics, quality, retrieval
-from .plans import evaluate
-from .plans.storage import written
+from .plans import evaluate, scan
+from .plans.storage import scratch, written
+from .sources import csv_files, evalgen, pages, reports, vector_store
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -35,6 +37,20 @@ def _cleaned(spark: SparkSession, d: str) -> DataFrame:
     return clean.kept(docs, clean.decide(docs, "conservative"))
 
 
+def _good(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus after cleaning by the quality score."""
+    return clean.kept(_docs(spark, d), filter_by_quality_score(spark, d))
+
+
+def _openings(spark: SparkSession, d: str) -> DataFrame:
+    """The first four words of each passage as queries: too little to rank its own documents first."""
+    return _asked(spark, d).withColumn("query", F.array_join(F.slice(F.split("query", " "), 1, 4), " "))
+
+
+def _loose_hits(spark: SparkSession, d: str) -> DataFrame:
+    return written(retrieval.bm25_topk(_docs(spark, d), _openings(spark, d), 10))
+
+
 def _hits(spark: SparkSession, d: str, docs: DataFrame | None = None, k: int = 10) -> DataFrame:
     return written(retrieval.bm25_topk(_docs(spark, d) if docs is None else docs, _asked(spark, d), k))
 
@@ -126,7 +142,7 @@ def filter_by_length(spark, d):
 
 def filter_by_quality_score(spark, d):
     docs = _docs(spark, d)
-    return clean.filter_by_quality_score(docs, quality.doc_stats(docs).where("char_count > 20"), 0.71)
+    return clean.filter_by_quality_score(docs, quality.doc_stats(docs), 0.8)
 
 
 def typographic_artifacts(spark, d):
@@ -210,8 +226,11 @@ def bm25_topk(spark, d):
 
 
 def rrf_hybrid(spark, d):
-    docs, asked = _docs(spark, d), _asked(spark, d)
-    return retrieval.fuse([_hits(spark, d), _hits(spark, d, docs.where("char_length(text) <= 2000"))], 10)
+    """Dense and BM25 lists of the documents whose id is divisible by 100 and that have a vector, as queries against all rows."""
+    v = _vectors(spark, d)
+    some = v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    texts = _docs(spark, d).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")).join(some.select("query_id"), "query_id")
+    return retrieval.fuse([retrieval.dense_topk(v, some, 10), retrieval.bm25_topk(_docs(spark, d), texts, 10)], 10)
 
 
 def hybrid_topk(spark, d):
@@ -234,6 +253,10 @@ def mean_metrics(spark, d):
     return metrics.average(query_metrics(spark, d))
 
 
+def metrics_summary(spark, d):
+    return metrics.summary(_hits(spark, d), _qrels(spark, d), _asked(spark, d), 10)
+
+
 def metrics_multi_k(spark, d):
     return metrics.at_many_k(_hits(spark, d, k=20), _qrels(spark, d), _asked(spark, d))
 
@@ -269,20 +292,21 @@ def present_qrels(spark, d):
 
 
 def answers_destroyed(spark, d):
-    return diagnose.answers_destroyed(_qrels(spark, d), _docs(spark, d).where("char_length(text) > 3000"))
+    return diagnose.answers_destroyed(_qrels(spark, d), _good(spark, d))
 
 
 def distractors(spark, d):
-    return diagnose.distractors(diagnose.displacements(_hits(spark, d), _qrels(spark, d))).select("doc_id", "displacements", F.array_join(F.transform("queries", lambda x: x.cast("string")), ",").alias("queries"))
+    return diagnose.distractors(diagnose.displacements(_loose_hits(spark, d), _qrels(spark, d))).select("doc_id", "displacements", F.array_join(F.transform("queries", lambda x: x.cast("string")), ",").alias("queries"))
 
 
 def top_distractors(spark, d):
-    return diagnose.distractors(diagnose.displacements(_hits(spark, d), _qrels(spark, d)), 5).select("doc_id", "displacements")
+    return diagnose.distractors(diagnose.displacements(_loose_hits(spark, d), _qrels(spark, d)), 5).select("doc_id", "displacements")
 
 
 def failure_classes(spark, d):
-    left = _docs(spark, d).where("char_length(text) <= 3000")
-    return diagnose.failure_classes(_hits(spark, d, left), _qrels(spark, d), left, _asked(spark, d))
+    left = _good(spark, d)
+    hits = written(retrieval.bm25_topk(left, _openings(spark, d), 10))
+    return diagnose.failure_classes(hits, _qrels(spark, d), left, _asked(spark, d))
 
 
 def fact_recall(spark, d):
@@ -294,9 +318,11 @@ def removed_by_class(spark, d):
 
 
 def cleaning_attribution(spark, d):
+    """The labels say exact_dup of later documents with the same raw text; cleaning goes by the normal form."""
     docs = _docs(spark, d)
-    labels = _labels(spark, d).withColumn("doc_class", F.when(F.col("doc_class") == "toxic", "near_dup").otherwise(F.col("doc_class")))
-    return diagnose.cleaning_attribution(docs, clean.decide(docs, "conservative"), labels)
+    same = dedup.members(docs)
+    kind = F.when(F.col("doc_id") != F.col("rep"), "exact_dup").otherwise("good")
+    return diagnose.cleaning_attribution(docs, clean.decide(docs, "conservative"), same.select("doc_id", kind.alias("doc_class")))
 
 
 def chunk_sentence(spark, d):
@@ -315,6 +341,109 @@ def chunk_estimate(spark, d):
     return chunk.estimate(_docs(spark, d))
 
 
+def distractor_classes(spark, d):
+    return diagnose.distractor_classes(diagnose.distractors(diagnose.displacements(_loose_hits(spark, d), _qrels(spark, d))), _labels(spark, d))
+
+
+def class_counts(spark, d):
+    return diagnose.class_counts(_labels(spark, d))
+
+
+def removed_documents(spark, d):
+    """What aggressive cleaning removes, through the CSV file that a user would download."""
+    docs = _docs(spark, d)
+    path = scratch(spark)
+    reports.removed_csv(docs, clean.decide(docs, "aggressive"), path)
+    return csv_files.read(spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "reason")
+
+
+def removal_percentages(spark, d):
+    docs = _docs(spark, d)
+    return _rounded(reports.percentages(quality.doc_stats(docs), clean.decide(docs, "aggressive")))
+
+
+def csv_documents(spark, d):
+    """The documents, written as CSV and loaded again."""
+    path = scratch(spark)
+    spark.read.parquet(f"{d}/documents.parquet").write.csv(path, header=True, escape='"')
+    back = csv_files.documents(spark, path, "text", "doc_id", ["lang", "source"])
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.char_length("text").alias("chars"), F.md5("text").alias("md5"), F.col("metadata")["lang"].alias("lang"))
+
+
+def csv_ground_truth(spark, d):
+    """The answers, written as a ground-truth CSV and loaded again."""
+    path = scratch(spark)
+    lists = _qrels(spark, d).groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list("doc_id")), ", ").alias("relevant_doc_ids"))
+    _asked(spark, d).join(lists, "query_id", "left").write.csv(path, header=True, escape='"')
+    _, truth = csv_files.ground_truth(spark, path, id_column="query_id")
+    return truth.select(F.col("query_id").cast("long").alias("query_id"), F.col("doc_id").cast("long").alias("doc_id"))
+
+
+def page_text(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", pages.clean_page(T.text_of("html")).alias("text"))
+
+
+def upload_union(spark, d):
+    """Web pages as the pages of files and documents as CSV rows, in one table: long pages are cut into sentences."""
+    paged = spark.read.parquet(f"{d}/pages.parquet").select(F.concat(F.lit("page_"), "page_id").alias("doc_id"), F.lit("web").alias("source"), T.text_of("html").alias("text"))
+    rows = _docs(spark, d).select(F.concat(F.lit("row_"), "doc_id").alias("doc_id"), F.lit("csv").alias("source"), T.text_of("text").alias("text"))
+    made = pages.upload([paged], [rows])
+    return made.groupBy("source").agg(F.count("*").alias("rows"), F.max(F.char_length("text")).alias("longest"))
+
+
+def vector_upsert(spark, d):
+    """All vectors, then every third one again with another tag: one row for each id, the later tag."""
+    store = vector_store.VectorStore(spark, scratch(spark))
+    rows = _vectors(spark, d)
+    store.create_index(rows.select(F.size("embedding")).first()[0])
+    store.upsert(rows.withColumn("tag", F.lit("first")))
+    store.upsert(rows.where("doc_id % 3 = 0").withColumn("tag", F.lit("second")))
+    return store.rows().select("doc_id", "tag")
+
+
+def unit_vectors(spark, d):
+    return _vectors(spark, d).select("doc_id", F.round(F.aggregate(V.normalise(F.col("embedding")), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("square"))
+
+
+def query_prefix(spark, d):
+    return _asked(spark, d).select("query_id", T.with_prefix(F.col("query"), "query", "multilingual-e5").alias("text"))
+
+
+def scan_summary(spark, d):
+    return _rounded(scan.scan(_docs(spark, d), method="jaccard", threshold=0.8).summary())
+
+
+def scan_issues(spark, d):
+    return scan.scan(_docs(spark, d), method="jaccard", threshold=0.8).issues_breakdown()
+
+
+def scan_and_clean(spark, d):
+    return scan.scan(_docs(spark, d), method="jaccard", threshold=0.8).clean("moderate")
+
+
+def dedup_first(spark, d):
+    docs = _docs(spark, d)
+    return clean.deduplicate_only(docs, _copy_clusters(docs), "first")
+
+
+def ablation_bm25(spark, d):
+    """The arms of the original and the conservatively cleaned corpus, BM25 with and without reranking."""
+    docs, asked = _docs(spark, d), _asked(spark, d)
+    corpora = [evaluate.Corpus("original", docs), evaluate.Corpus("cleaned", _cleaned(spark, d))]
+    return evaluate.arms(corpora, asked, _qrels(spark, d), modes=("bm25",), candidates=20)
+
+
+def compare_corpora(spark, d):
+    docs = _docs(spark, d)
+    whole = evaluate.index(docs)
+    return evaluate.compare(whole, whole.without(clean.decide(docs, "conservative")), _asked(spark, d), _qrels(spark, d))
+
+
+def generated_classes(spark, d):
+    """The classes of the seeded evaluation set, whose sizes are its parameters."""
+    return diagnose.class_counts(evalgen.generate().frames(spark)[3])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -322,7 +451,9 @@ QUERIES = {
         exact_duplicates, clean_conservative, clean_moderate, clean_aggressive, dedup_longest, cleanest_copy, filter_by_length, filter_by_quality_score,
         typographic_artifacts, removal_breakdown, char_shingle_counts, jaccard_pairs, minhash_candidates, two_stage_pairs, cosine_pairs, duplicate_clusters,
         cluster_stats, duplicate_totals, noise_scores, overall_quality, heatmap, dense_topk, bm25_tokens, postings_stats, bm25_topk, rrf_hybrid, hybrid_topk,
-        rerank, qrels, query_metrics, mean_metrics, metrics_multi_k, compare_runs, improvement, ndcg_by_type, bootstrap_ci, present_qrels, answers_destroyed,
+        rerank, qrels, query_metrics, mean_metrics, metrics_summary, metrics_multi_k, compare_runs, improvement, ndcg_by_type, bootstrap_ci, present_qrels, answers_destroyed,
         distractors, top_distractors, failure_classes, fact_recall, removed_by_class, cleaning_attribution, chunk_sentence, chunk_fixed, chunk_paragraph, chunk_estimate,
+        distractor_classes, class_counts, removed_documents, removal_percentages, csv_documents, csv_ground_truth, page_text, upload_union, vector_upsert, unit_vectors,
+        query_prefix, scan_summary, scan_issues, scan_and_clean, dedup_first, ablation_bm25, compare_corpora, generated_classes,
     )
 }

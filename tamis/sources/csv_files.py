@@ -43,7 +43,8 @@ def documents(spark: SparkSession, path: str, text_column: str = "text", id_colu
     made = F.concat("_file", F.lit("_row_"), F.col("_row"))
     ids = made if id_column is None else F.coalesce(F.nullif(F.col(id_column).cast("string"), F.lit("")), made)
     more = metadata_columns if metadata_columns is not None else [c for c in raw.columns if c not in (text_column, id_column)]
-    pairs = [F.lit("source"), F.col("_file"), F.lit("row"), F.col("_row").cast("string"), F.lit("type"), F.lit("csv")]
+    # a column of the file named as one of these takes its place
+    pairs = [x for k, v in (("source", F.col("_file")), ("row", F.col("_row").cast("string")), ("type", F.lit("csv"))) if k not in more for x in (F.lit(k), v)]
     for c in more:
         pairs += [F.lit(c), F.col(c).cast("string")]
     return own.select(ids.alias("doc_id"), F.col("_text").alias("text"), F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()).alias("metadata"), F.col("_row").alias("doc_ord"))

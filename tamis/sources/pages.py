@@ -40,3 +40,23 @@ def one_per_file(pages: DataFrame) -> DataFrame:
     """doc_id (the file), text: the pages in order, a blank line between them."""
     ordered = F.sort_array(F.collect_list(F.struct("page", "text")))
     return pages.groupBy(F.col("source").alias("doc_id")).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def upload(paged: list[DataFrame], rows: list[DataFrame], most: int = 512) -> DataFrame:
+    """doc_id, source, text of several uploads in one table: pages (of read()) over `most` characters are cut into
+    sentence chunks, shorter ones and CSV rows stay as they are."""
+    from ..operators import chunk
+
+    parts = [x.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "text") for x in rows]
+    for x in paged:
+        own = x.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "text")
+        parts.append(own.where(F.char_length("text") <= most))
+        # a chunk's source comes with its id, so nothing is joined
+        named = own.where(F.char_length("text") > most).select(F.struct("doc_id", "source").alias("doc_id"), "text")
+        cut = chunk.chunk(named.select(F.to_json("doc_id").alias("doc_id"), "text"), "sentence", chunk.Chunker(most))
+        back = F.from_json("doc_id", "doc_id string, source string")
+        parts.append(cut.select(F.concat(back["doc_id"], F.lit("_chunk_"), F.col("chunk_index")).alias("doc_id"), back["source"].alias("source"), "text"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out

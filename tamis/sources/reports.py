@@ -47,6 +47,25 @@ def as_html(title: str, sections: dict[str, list[dict] | str], first: int = 10)
     return "".join(out)
 
 
+def removed_csv(docs, decisions, path: str, most: int = 100) -> None:
+    """A CSV folder of doc_id, text (its first `most` characters) and the true reason of what cleaning removed."""
+    from ..operators import clean
+
+    clean.removed(docs.select("doc_id", "text"), decisions).selectExpr("doc_id", f"substring(text, 1, {most}) AS text", "reason").write.csv(path, header=True, escape='"')
+
+
+def percentages(stats, decisions):
+    """One row: documents, retained_percent and issue_percent (documents with an issue) of all documents; zeros for none."""
+    from pyspark.sql import functions as F
+
+    from ..operators import quality
+
+    kept = decisions.agg(F.count("*").alias("documents"), F.count_if(F.col("reason").isNull()).alias("_kept"))
+    bad = stats.agg(F.count_if(F.size(quality.issue_array()) > 0).alias("_bad"))
+    share = lambda c: F.coalesce(F.col(c) * 100.0 / F.nullif(F.col("documents"), F.lit(0)), F.lit(0.0))
+    return kept.join(F.broadcast(bad)).select("documents", share("_kept").alias("retained_percent"), share("_bad").alias("issue_percent"))  # one row each
+
+
 def as_pdf(page: str) -> bytes:
     from weasyprint import HTML
 
@@ -54,7 +73,14 @@ def as_pdf(page: str) -> bytes:
 
 
 def audit_sections(scan: dict, cleaning: list[dict], comparison: list[dict] | None = None) -> dict[str, list[dict] | str]:
-    """Sections of an audit from one-row summaries; percentages are of all documents."""
+    """Sections of an audit from one-row summaries; percentages are of all documents. Advice follows from what was found."""
     n = max(1, scan["total_documents"])
     head = [{"documents": scan["total_documents"], "quality": scan["overall_quality"], "duplicates %": 100 * scan["total_duplicates"] / n, "issues per 100": 100 * scan["total_issues"] / n}]
-    return {"Summary": head, "Cleaning": cleaning, **({"Retrieval before and after": comparison} if comparison else {}), "Next": scan.get("recommendation") or "nothing to recommend"}
+    kept = sum(r["n"] for r in cleaning if r.get("reason") == "kept")
+    head[0]["retained %"] = 100 * kept / n
+    issues = [{"issue": "duplicates", "n": scan.get("unique_duplicates", 0)}, {"issue": "text quality", "n": scan["total_issues"]}]
+    advice = [x for on, x in ((scan.get("unique_duplicates", 0), "Remove duplicates before indexing."), (scan["total_issues"], "Review short, long and garbled documents."), (True, "Scan again after each import."), (True, "Compare retrieval before and after each cleaning.")) if on]
+    return {
+        "Summary": head, "Issues": issues, "Cleaning": cleaning, **({"Retrieval before and after": comparison} if comparison else {}),
+        "Recommendations": "\n".join(f"- {x}" for x in advice), "Next": scan.get("recommendation") or "nothing to recommend",
+    }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import retrieval
+from ..operators.embed import tried
 
 
 class VectorStore:
@@ -84,42 +85,74 @@ class VectorStore:
 class RemoteStore:
     """The interface of VectorStore over a client object that is handed in, in batches; three tries, then the error."""
 
-    BATCH, TRIES, TEXT = 100, 3, 1000
+    BATCH, TRIES, TEXT, WAIT = 100, 3, 1000, 1.0
 
     def __init__(self, client):
         self.client = client
 
-    def upsert(self, docs: DataFrame, namespace: str = "default") -> None:
-        client, batch, tries, most = self.client, self.BATCH, self.TRIES, self.TEXT
+    def create_index(self, name: str, dimension: int, metric: str = "cosine") -> None:
+        """Leaves an index of that dimension as it is; one of another dimension is an error."""
+        if dimension < 1:
+            raise ValueError("an index needs at least one dimension")
+        old = self.client.describe(name)
+        if old is None:
+            self._tried(lambda: self.client.create(name, dimension, metric))
+        elif old["dimension"] != dimension:
+            raise ValueError(f"{name} has {old['dimension']} dimensions, not {dimension}")
 
-        def send(rows):
-            import time
+    def delete_index(self, name: str) -> None:
+        if self.client.describe(name) is not None:
+            self._tried(lambda: self.client.delete(name))
 
-            held = []
+    def delete_namespace(self, namespace: str) -> None:
+        self._tried(lambda: self.client.delete_namespace(namespace))
 
-            def flush():
-                for n in range(tries):
-                    try:
-                        return client.upsert(held, namespace)
-                    except Exception:
-                        if n == tries - 1:
-                            raise
-                        time.sleep(2**n)
+    def stats(self) -> dict:
+        """namespace: number of vectors."""
+        return dict(self._tried(self.client.stats))
+
+    def _tried(self, call):
+        return tried(call, self.TRIES, self.WAIT)
+
+    def upsert(self, docs: DataFrame, namespace: str = "default") -> None:
+        client, batch, tries, wait, most = self.client, self.BATCH, self.TRIES, self.WAIT, self.TEXT
 
+        def send(rows):
+            held = []
             for r in rows:
                 d = r.asDict(True)
+                if not d["embedding"]:
+                    raise ValueError(f"{d['doc_id']} has no vector")
                 meta = {"text": (d.pop("text", None) or "")[:most]} | (d.pop("metadata", None) or {})
                 held.append({"id": str(d["doc_id"]), "values": list(d["embedding"]), "metadata": meta})
                 if len(held) == batch:
-                    flush()
+                    tried(lambda held=held: client.upsert(held, namespace), tries, wait)
                     held = []
             if held:
-                flush()
+                tried(lambda: client.upsert(held, namespace), tries, wait)
 
         docs.foreachPartition(send)
 
     def query(self, vector: list, k: int = 10, namespace: str = "default", where: dict | None = None) -> list:
-        return self.client.query(vector, k, namespace, where)
+        if k < 1 or not len(vector):
+            raise ValueError("a query needs a vector and a k of 1 or more")
+        return self._tried(lambda: self.client.query(vector, k, namespace, where))
+
+    def query_many(self, queries: DataFrame, k: int = 10, namespace: str = "default", where: dict | None = None) -> DataFrame:
+        """Hits of queries (query_id, embedding), asked from the executors; client.query gives (id, score) pairs, best first."""
+        client, tries, wait = self.client, self.TRIES, self.WAIT
+        own = queries.select("query_id", "embedding")
+
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                found = [(q, n + 1, str(i), float(s)) for q, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for n, (i, s) in enumerate(tried(lambda v=v: client.query(v, k, namespace, where), tries, wait))]
+                cols = list(zip(*found)) or [[], [], [], []]
+                kinds = (b.column(0).type, pa.int32(), pa.string(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["query_id", "rank", "doc_id", "score"])
+
+        return own.mapInArrow(run, f"query_id {own.schema['query_id'].dataType.simpleString()}, rank int, doc_id string, score double")
 
 
 def open_store(spark: SparkSession, kind: str, **options):

@@ -97,3 +97,146 @@ def test_cli_end_to_end(spark, tmp_path):
 
 def test_reports_escape():
     assert "&lt;b&gt;" in reports.as_html("t", {"x": [{"a": "<b>"}]}) and "(none)" in reports.as_markdown("t", {"x": []})
+
+
+def test_a_column_named_as_the_loader_names_its_own(spark, tmp_path):
+    (tmp_path / "d.csv").write_text("text,source,row\nsome text,web,7\n")
+    (r,) = csv_files.documents(spark, str(tmp_path / "d.csv")).collect()
+    assert r.metadata == {"type": "csv", "source": "web", "row": "7"} and r.doc_id == "d.csv_row_0"
+
+
+def test_uploads_of_both_kinds(spark):
+    paged = spark.createDataFrame([("a_page_1", "a", "Short page."), ("a_page_2", "a", "A sentence of the long page. " * 40)], "doc_id string, source string, text string")
+    rows = spark.createDataFrame([("r1", "d.csv", "x" * 900), ("r2", "d.csv", "y")], "doc_id string, source string, text string")
+    got = pages.upload([paged], [rows]).collect()
+    assert {r.doc_id for r in got if r.source == "d.csv"} == {"r1", "r2"}
+    mine = [r for r in got if r.source == "a"]
+    assert "a_page_1" in {r.doc_id for r in mine} and all(len(r.text) <= 512 for r in mine)
+    assert [r.doc_id for r in mine if r.doc_id != "a_page_1"] == [f"a_page_2_chunk_{k}" for k in range(len(mine) - 1)] and len(mine) > 3
+
+
+def test_chunk_queries_equal_the_chunker(spark):
+    from tamis import queries
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for strategy in chunk.STRATEGIES:
+        got = sorted((r.doc_id, r.chunk_index, r.total_chunks, r.text) for r in queries.QUERIES[f"chunk_{strategy}"](spark, sf).collect())
+        want = []
+        for i, t in texts.items():
+            made = chunk.Chunker().chunks(t or "", strategy)
+            assert strategy == "fixed" or "".join(t.split()) in "".join("".join(x.split()) for x in made) or len(made) > 1
+            want += [(i, k, len(made), x) for k, x in enumerate(made) if len(x) >= 50]
+        assert got == sorted(want)
+
+
+def fake_client(folder):
+    class FakeClient:
+        """Fails once before each success; keeps what it gets in a folder, as the executors run elsewhere."""
+
+        def __init__(self, folder):
+            self.folder = str(folder)
+
+        def _flaky(self, name):
+            import os
+
+            if not os.path.exists(f"{self.folder}/{name}"):
+                open(f"{self.folder}/{name}", "w").close()
+                raise ConnectionError("try again")
+
+        def embed(self, texts, kind):
+            self._flaky(f"embed{len(texts)}")
+            return [[float(len(t)), 1.0] for t in texts]
+
+        def describe(self, name):
+            return {"dimension": 2} if name == "there" else None
+
+        def create(self, name, dimension, metric):
+            self._flaky("create")
+
+        def stats(self):
+            self._flaky("stats")
+            return {"default": 3}
+
+        def query(self, vector, k, namespace, where):
+            return [("a", 1.0), ("b", 0.5)][:k]
+
+        def upsert(self, rows, namespace):
+            import json
+            import uuid
+
+            with open(f"{self.folder}/up-{uuid.uuid4().hex}.json", "w") as f:
+                json.dump([r["id"] for r in rows], f)
+
+    return FakeClient(folder)  # made here, so that it is sent to the workers by value
+
+
+def test_remote_services(spark, tmp_path):
+    from tamis.operators import embed
+    from tamis.sources.vector_store import RemoteStore
+
+    client = fake_client(tmp_path)
+    docs = spark.createDataFrame([(str(i), "x" * i) for i in range(5)], "doc_id string, text string").coalesce(1)
+    p = embed.provider("remote", client=client, dimension=2, wait=0.0)
+    made = p.embed(docs)
+    assert sorted((r.doc_id, list(r.embedding)) for r in made.collect()) == [(str(i), [float(i), 1.0]) for i in range(5)]
+    with pytest.raises(Exception, match="3 numbers"):
+        embed.provider("remote", client=client, dimension=3, wait=0.0).embed(docs).collect()
+    store = open_store(spark, "remote", client=client)
+    assert isinstance(store, RemoteStore)
+    RemoteStore.WAIT = 0.0
+    store.create_index("new", 2)
+    store.create_index("there", 2)
+    with pytest.raises(ValueError):
+        store.create_index("there", 3)
+    with pytest.raises(ValueError):
+        store.query([], 3)
+    assert store.stats() == {"default": 3} and store.query([1.0, 0.0], 1) == [("a", 1.0)]
+    store.upsert(made.join(docs, "doc_id"))
+    assert sorted(i for f in tmp_path.glob("up-*.json") for i in json.loads(f.read_text())) == [str(i) for i in range(5)]
+    hits = store.query_many(made.selectExpr("doc_id AS query_id", "embedding"), 2).collect()
+    assert len(hits) == 10 and {(r.rank, r.doc_id) for r in hits} == {(1, "a"), (2, "b")}
+
+
+def test_a_model_as_reranker(spark):
+    from tamis.operators import retrieval
+
+    hits = spark.createDataFrame([("q", k + 1, d, 1.0) for k, d in enumerate("abc")], "query_id string, rank int, doc_id string, score double")
+    queries = spark.createDataFrame([("q", "say")], "query_id string, query string")
+    docs = spark.createDataFrame([("a", "x"), ("b", "xxx"), ("c", "xx")], "doc_id string, text string")
+    got = retrieval.rerank(hits, queries, docs, 2, retrieval.scored_by(lambda q, t: [len(x) for x in t], batch=2))
+    assert [r.doc_id for r in got.orderBy("rank").collect()] == ["b", "c"]
+
+
+def test_scan_tells_its_progress_and_takes_other_stats(spark):
+    from tamis.operators import quality
+    from tamis.plans import scan
+
+    docs = spark.createDataFrame([(1, "Some words that say a thing."), (2, "Some words that say a thing."), (3, "Other words here.")], "doc_id long, text string")
+    seen = []
+    found = scan.scan(docs, method="jaccard", threshold=0.8, stats=lambda d, s: quality.doc_stats(d.where("doc_id < 3"), s), progress=lambda name, done: seen.append((name, done)))
+    assert found.stats.count() == 2 and found.clusters.count() == 2
+    assert [d for _, d in seen] == sorted(d for _, d in seen) and seen[-1] == ("done", 1.0)
+
+
+def test_removed_documents_and_percentages(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "A fine text, long enough, with words."), (2, 'x"y'), (3, None)], "doc_id long, text string")
+    from tamis.operators import clean, quality
+
+    decided = clean.decide(docs, "aggressive")
+    reports.removed_csv(docs, decided, str(tmp_path / "gone"))
+    got = {r.doc_id: (r.text, r.reason) for r in csv_files.read(spark, str(tmp_path / "gone")).collect()}
+    assert got == {"2": ('x"y', "too_short"), "3": (None, "too_short")}
+    (r,) = reports.percentages(quality.doc_stats(docs), decided).collect()
+    assert r.documents == 3 and round(r.retained_percent, 2) == 33.33 and round(r.issue_percent, 2) == 66.67
+
+
+def test_summary_of_metrics(spark):
+    from tamis.operators import metrics
+
+    hits = spark.createDataFrame([("q", 3, "d", 1.0), ("q", 1, "e", 2.0), ("q", 2, "f", 1.5)], "query_id string, rank int, doc_id string, score double")
+    asked = spark.createDataFrame([("q", "x")], "query_id string, query string")
+    truth = spark.createDataFrame([("q", "d")], "query_id string, doc_id string")
+    assert tuple(metrics.summary(hits, truth, asked, 3).first()) == (3, 0.5, 1.0, 0.3333, 0.3333, 1.0)
+    with pytest.raises(ValueError):
+        metrics.summary(hits, truth, asked.limit(0), 3)
