@@ -36,6 +36,8 @@ CARE = 10.0
 RARE_CARE = 20.0
 #: Width and bits of the two families of grams.
 FAMILIES = ((5, BITS), (7, 22))
+#: Input partitions that a counting task takes: it sends a row per bucket, however much it has read.
+GATHER = 8
 #: Trusted ids that are sent to every executor at most; more meet the documents in a sort-merge join.
 BROADCAST = 1_000_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -112,7 +114,9 @@ def gram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
                 cols = [pa.array(np.full(len(p), family, np.int8)), pa.array(p.astype(np.int32)), pa.array(pair[p, 0] + target), pa.array(target)]
                 yield pa.RecordBatch.from_arrays(cols, names=["family", "bucket", "raw", "target"])
 
-    parts = flagged(docs, trusted).mapInArrow(run, "family tinyint, bucket int, raw long, target long")
+    read = flagged(docs, trusted)
+    few = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.rdd.getNumPartitions() // GATHER))
+    parts = read.coalesce(few).mapInArrow(run, "family tinyint, bucket int, raw long, target long")
     return parts.groupBy("family", "bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
