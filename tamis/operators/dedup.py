@@ -99,6 +99,7 @@ def signatures(sets: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
                 for k, f in enumerate(a):  # one permutation at a time: a text's hashes stay in the cache
                     np.multiply(h, f, out=mixed)
                     mixed ^= mixed >> np.uint64(31)
+                    mixed *= np.uint64(0x9E3779B97F4A7C15)
                     least[k] = mixed.min()
                 ids.append(i)
                 made.append(least.tobytes())
