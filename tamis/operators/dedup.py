@@ -156,6 +156,9 @@ def jaccard_pairs(docs: DataFrame, least: float = 0.8, s: Settings = DEFAULTS) -
     reps = members(docs).select(F.col("rep").alias("doc_id")).distinct()
     sets = written(shingle_sets(docs, s.shingle).join(reps, "doc_id", "left_semi"))
     pairs = _bucket_pairs(written(signatures(sets, s).select("doc_id", "keys")))
+    # sets whose sizes differ by more than the similarity allows need not meet: that is exact, and sizes are cheap
+    m, n = (sets.select(F.col("doc_id").alias(i), F.size("shingles").alias(f"_n{i}")) for i in "ab")
+    pairs = pairs.join(m, "a").join(n, "b").where(F.least("_na", "_nb") >= F.lit(least) * F.greatest("_na", "_nb") - 1e-9).select("a", "b")
     x, y = (sets.select(F.col("doc_id").alias(i), F.col("shingles").alias(f"_{i}")) for i in "ab")
 
     def run(batches):
