@@ -3,31 +3,33 @@
 Every block is a lane of its own: models and coder start anew in each, so blocks can be decoded alone, and numpy takes
 one step of all lanes at once. For each id
 - order 2 (the two ids before) and order 1 (the id before) each predict an id, with a confidence;
-- if order 2 predicts, "it is that id" is a bit whose probability mixes, in the logistic domain with weights learned in the
-  block, what both confidences and the block's own count of the predicted id (order 0) say; then, if it differs,
-  "it is what order 1 predicts" is coded alike;
-- an id that neither predicts is coded by order 0: its nibbles, high to low, by adaptive counts given those before.
+- "it is what order 2 predicts" has a probability that mixes, in the logistic domain with weights learned in the block,
+  what both confidences and the block's own count of the predicted id (order 0) say; "if not, it is what order 1
+  predicts" likewise. Both make one choice of three, coded in one step;
+- an id that neither predicts is coded by order 0, in one step: the frequencies given for its block, by `frequencies` of
+  all blocks that lie together, or, where none are given, all ids alike.
 All arithmetic is on integers, so a block decodes alike on any machine.
 """
 
 from __future__ import annotations
 
 import math
+import struct
+import zlib
 
 import numpy as np
 
 T2, T1, T0 = 1 << 12, 1 << 11, 1 << 10
-#: Contexts of a nibble: all prefixes of up to eight bits, and hashed ones beyond.
-SHORT, HASHED = 273, 1 << 10
-MOST = 7
-STEP, LIMIT = 24, 1 << 13
+#: The greatest confidence, and contexts of a probability that is mixed.
+MOST, CONTEXTS = 7, 16
 _FULL = (1 << 64) - 1
-_LOW32 = np.uint64((1 << 32) - 1)
-_S32 = np.uint64(32)
-#: Below this range a lane gives up what lies beyond the next multiple of 2^32.
-_LEAST = np.uint64(1 << 24)
+_S32, _S16 = np.uint64(32), np.uint64(16)
+#: A lane whose range is below this shifts 32 bits.
+_LEAST = np.uint64(1 << 32)
+_ZERO = np.uint64(0)
 _SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-d / 256))))) for d in range(-2047, 2048)], np.int32)
 _STRETCH = np.array([max(-2047, min(2047, round(256 * math.log(max(p, 0.5) / (4096 - max(p, 0.5)))))) for p in range(4096)], np.int32)
+_LEVEL = np.array([0, 1, 2, 3, 4, 4, 5, 5, 6, 6, 6, 6, *[7] * 244], np.int64)
 
 
 class _Writer:
@@ -35,36 +37,51 @@ class _Writer:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _FULL, np.uint64)
         self.out, self.at = np.zeros((lanes, most_words), np.uint32), np.zeros(lanes, np.int64)
 
-    def _settle(self, on, low, rng):
-        same = ((low ^ (low + (rng - np.uint64(1)))) >> _S32) == 0
-        tight = ~same & (rng < _LEAST)
-        if tight.any():
-            rng[tight] = (np.uint64(0) - low[tight]) & _LOW32
-            same |= tight
-        k = np.flatnonzero(same)
-        if len(k):
-            lane = on[k]
-            self.out[lane, self.at[lane]] = (low[k] >> _S32).astype(np.uint32)
-            self.at[lane] += 1
-            low[k] <<= _S32
-            rng[k] = np.minimum(rng[k], _LOW32) << _S32
-        self.low[on], self.range[on] = low, rng
+    def _shift(self, k):
+        """What is settled of lanes k goes out."""
+        lane_at, low = self.at[k], self.low[k]
+        self.out[k, lane_at] = (low >> _S32).astype(np.uint32)
+        self.at[k] = lane_at + 1
+        self.low[k] = low << _S32
+        self.range[k] <<= _S32
+
+    def _carry(self, k):
+        """One is added to the words that lanes k have put out."""
+        at = self.at[k] - 1
+        while len(k):
+            self.out[k, at] += np.uint32(1)
+            more = self.out[k, at] == 0
+            k, at = k[more], at[more] - 1
+
+    def choice(self, m, a, b, k):
+        """k: 0, 1 or 2, of probabilities a, b - a and the rest, in 1/65536."""
+        rng, low = self.range[:m], self.low[:m]
+        r = rng >> _S16
+        ra, rb = r * a, r * b
+        first, last = k == 0, k == 2
+        add = np.where(first, _ZERO, np.where(last, rb, ra))
+        np.subtract(np.where(first, ra, np.where(last, rng, rb)), add, out=rng)
+        low += add
+        over = np.flatnonzero(low < add)
+        if len(over):
+            self._carry(over)
+        small = np.flatnonzero(rng < _LEAST)
+        if len(small):
+            self._shift(small)
+        return k
 
-    def bit(self, on, p, value):
-        """p: probability of one, in 1/65536; value: what comes."""
-        low, rng = self.low[on], self.range[on]
-        bound = (rng >> np.uint64(16)) * p.astype(np.uint64)
-        self._settle(on, np.where(value, low, low + bound), np.where(value, bound, rng - bound))
-        return value
-
-    def nibble(self, on, counts, cum, value):
-        low, rng = self.low[on], self.range[on]
-        r, k = rng // cum[:, -1].astype(np.uint64), np.arange(len(on))
-        at = (k << 4) + value
-        freq = counts.ravel().take(at).astype(np.uint64)
-        below = cum.ravel().take(at).astype(np.uint64) - freq
-        self._settle(on, low + r * below, r * freq)
-        return value, freq
+    def symbol(self, on, tables, at):
+        """at: the ids' places in the tables."""
+        r = self.range[on] >> tables.bits[on]
+        add = r * tables.start.take(at)
+        low, rng = self.low[on] + add, r * tables.freq.take(at)
+        self.low[on], self.range[on] = low, rng
+        over = on[low < add]
+        if len(over):
+            self._carry(over)
+        small = on[rng < _LEAST]
+        if len(small):
+            self._shift(small)
 
     def bytes(self) -> list[bytes]:
         out = []
@@ -77,167 +94,204 @@ class _Writer:
 class _Reader:
     def __init__(self, blocks: list[bytes]):
         lanes = len(blocks)
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _FULL, np.uint64)
+        self.range = np.full(lanes, _FULL, np.uint64)
         longest = max(len(b) for b in blocks) // 4 + 3
-        self.words = np.zeros((lanes, longest), np.uint64)
+        self.words = np.zeros((lanes, longest), np.uint32)
         for i, b in enumerate(blocks):
-            self.words[i, : len(b) // 4] = np.frombuffer(b, "<u4")
-        self.code = (self.words[:, 0] << _S32) | self.words[:, 1]
+            self.words[i, : len(b) // 4] = np.frombuffer(b[: len(b) // 4 * 4], "<u4")
+        #: How far the code lies above the writer's low.
+        self.code = (self.words[:, 0].astype(np.uint64) << _S32) | self.words[:, 1]
         self.at = np.full(lanes, 2, np.int64)
 
-    def _settle(self, on, low, rng):
-        same = ((low ^ (low + (rng - np.uint64(1)))) >> _S32) == 0
-        tight = ~same & (rng < _LEAST)
-        if tight.any():
-            rng[tight] = (np.uint64(0) - low[tight]) & _LOW32
-            same |= tight
-        k = np.flatnonzero(same)
-        if len(k):
-            lane = on[k]
-            at = np.minimum(self.at[lane], self.words.shape[1] - 1)
-            self.code[lane] = (self.code[lane] << _S32) | self.words[lane, at]
-            self.at[lane] += 1
-            low[k] <<= _S32
-            rng[k] = np.minimum(rng[k], _LOW32) << _S32
-        self.low[on], self.range[on] = low, rng
+    def _shift(self, k):
+        at = np.minimum(self.at[k], self.words.shape[1] - 1)
+        self.code[k] = (self.code[k] << _S32) | self.words[k, at]
+        self.at[k] = at + 1
+        self.range[k] <<= _S32
 
-    def bit(self, on, p, _):
-        low, rng = self.low[on], self.range[on]
-        bound = (rng >> np.uint64(16)) * p.astype(np.uint64)
-        value = self.code[on] - low < bound
-        self._settle(on, np.where(value, low, low + bound), np.where(value, bound, rng - bound))
-        return value
-
-    def nibble(self, on, counts, cum, _):
-        low, rng = self.low[on], self.range[on]
-        r, k = rng // cum[:, -1].astype(np.uint64), np.arange(len(on))
-        target = np.minimum((self.code[on] - low) // r, (cum[:, -1] - 1).astype(np.uint64))
-        value = (cum.astype(np.uint64) <= target[:, None]).sum(1)
-        value = np.minimum(value, 15)
-        at = (k << 4) + value
-        freq = counts.ravel().take(at).astype(np.uint64)
-        below = cum.ravel().take(at).astype(np.uint64) - freq
-        self._settle(on, low + r * below, r * freq)
-        return value, freq
-
-
-class _Bit:
-    """One mixed yes-or-no decision: three adaptive probabilities and weights by context, for each lane."""
-
-    def __init__(self, lanes: int, sizes: tuple[int, ...], sets: int):
-        self.sizes, self.sets = sizes, sets
-        self.p = [np.full(lanes * n, 1 << 15, np.int32) for n in sizes]
-        self.w = [np.full(lanes * sets, (1 << 16) * 2 // 5, np.int32) for _ in sizes]
-
-    def code(self, coder, on, contexts, which, value):
-        at = [on * n + c for n, c in zip(self.sizes, contexts)]
-        p = [t.take(i) for t, i in zip(self.p, at)]
-        s = [_STRETCH.take(x >> 4) for x in p]
-        wi = on * self.sets + which
-        w = [t.take(wi) for t in self.w]
-        # weights stay under 2^18 and stretched values under 2^11: three products fit 31 bits
-        dot = (w[0] * s[0] + w[1] * s[1] + w[2] * s[2]) >> 16
-        mixed = _SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047)
-        value = coder.bit(on, np.minimum(np.maximum(mixed << 4, 48), 65536 - 48), value)
-        goal = np.where(value, np.int32(65535), np.int32(0))
-        error = np.where(value, np.int32(4095), np.int32(0)) - mixed
-        for t, i, x in zip(self.p, at, p):
-            t[i] = x + ((goal - x) >> 4)
-        for t, x, y in zip(self.w, w, s):
-            t[wi] = np.minimum(np.maximum(x + ((y * error * 6 + 2048) >> 12), -(1 << 18)), 1 << 18)
-        return value
-
-
-def _run(coder, lens: np.ndarray, nibbles: int, ids: np.ndarray | None) -> np.ndarray:
-    """The model, for either direction; lens is in descending order. ids: (lanes, steps) if they are to be written."""
+    def choice(self, m, a, b, _):
+        rng, code = self.range[:m], self.code[:m]
+        r = rng >> _S16
+        ra, rb = r * a, r * b
+        past, last = code >= ra, code >= rb
+        add = np.where(past, np.where(last, rb, ra), _ZERO)
+        np.subtract(np.where(past, np.where(last, rng, rb), ra), add, out=rng)
+        code -= add
+        small = np.flatnonzero(rng < _LEAST)
+        if len(small):
+            self._shift(small)
+        return past.astype(np.int8) + last
+
+    def symbol(self, on, tables, _):
+        code = self.code[on]
+        r = self.range[on] >> tables.bits[on]
+        at = tables.slots.take(tables.slot[on] + np.minimum((code // np.maximum(r, np.uint64(1))).astype(np.int64), tables.last[on]))
+        code -= r * tables.start.take(at)
+        rng = r * tables.freq.take(at)
+        self.code[on], self.range[on] = code, rng
+        small = on[rng < _LEAST]
+        if len(small):
+            self._shift(small)
+        return tables.ids.take(at)
+
+
+def frequencies(ids: np.ndarray) -> bytes:
+    """Order 0 for blocks of these ids: the ids that are met and their frequencies, scaled to a power of two at most."""
+    found, n = np.unique(ids, return_counts=True)
+    bits = max(16, len(found).bit_length() + 2)
+    scaled = 1 + n.astype(np.int64) * ((1 << bits) - len(found)) // max(len(ids), 1)
+    return struct.pack("<BI", bits, len(found)) + zlib.compress(np.r_[np.diff(found.astype(np.int64), prepend=0), scaled].astype("<u4").tobytes())
+
+
+def _parsed(data: bytes | None, nibbles: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(bits, ids, frequencies); without data all ids alike."""
+    size = 16**nibbles
+    if data is None:
+        return 4 * nibbles, np.arange(size), np.ones(size, np.int64)
+    bits, n = struct.unpack_from("<BI", data)
+    both = np.frombuffer(zlib.decompress(data[5:]), "<u4").astype(np.int64)
+    ids, freq = np.cumsum(both[:n]), both[n:]
+    if len(both) != 2 * n or (n and (ids[-1] >= size or freq.min() < 1 or freq.sum() > 1 << bits)):
+        raise ValueError("frequencies of token ids are damaged, or an id is too large")
+    return bits, ids, freq
+
+
+class _Tables:
+    """The frequencies of all lanes, one set after another: whose a place is, where its slots start, how many there are."""
+
+    def __init__(self, given: list[bytes | None], nibbles: int):
+        self.kinds = {x: i for i, x in enumerate(dict.fromkeys(given))}
+        self.sets = [_parsed(x, nibbles) for x in self.kinds]
+        self.kind = np.array([self.kinds[x] for x in given], np.int64)
+        firsts = np.cumsum([0] + [len(ids) for _, ids, _ in self.sets])
+        self.first, self.bits = firsts[self.kind], np.array([b for b, _, _ in self.sets], np.uint64)[self.kind]
+        self.ids = np.concatenate([ids for _, ids, _ in self.sets]).astype(np.int32)
+        self.freq = np.concatenate([f for _, _, f in self.sets]).astype(np.uint64)
+        self.start = np.concatenate([np.cumsum(f) - f for _, _, f in self.sets]).astype(np.uint64)
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """The place of every id (steps, lanes) in its lane's set."""
+        out = np.zeros(ids.shape, np.int32)
+        for i, (_, known, _) in enumerate(self.sets):
+            lanes = np.flatnonzero(self.kind == i)
+            if len(known):
+                number = np.zeros(int(known[-1]) + 1, np.int32)
+                number[known] = np.arange(len(known))
+                out[:, lanes] = number.take(ids[:, lanes], mode="clip") + np.int32(self.first[lanes[0]])
+        return out
+
+    def with_slots(self) -> _Tables:
+        """For reading: the place that each slot belongs to."""
+        sizes = np.array([1 << b for b, _, _ in self.sets])
+        self.slots, at = np.zeros(int(sizes.sum()), np.int32), np.cumsum(sizes) - sizes
+        place = 0
+        for (_, ids, freq), k in zip(self.sets, at.tolist()):
+            self.slots[k : k + int(freq.sum())] = np.repeat(np.arange(place, place + len(ids), dtype=np.int32), freq)
+            place += len(ids)
+        self.slot, self.last = at[self.kind], (sizes - 1)[self.kind]
+        return self
+
+
+def _bounds(mixed: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the second and third of three choices start, in 1/65536; every choice that is valid, and the third, has a share."""
+    share = (np.minimum(np.maximum(mixed << 4, 48), 65536 - 48) * valid).astype(np.uint64)
+    a = share[0]
+    return a, a + np.maximum((np.uint64(65536) - a) * share[1] >> _S16, valid[1])
+
+
+def _run(coder, lens: np.ndarray, tables: _Tables, ids: np.ndarray | None) -> np.ndarray:
+    """The model, for either direction; lens is in descending order. ids: (steps, lanes) if they are to be written."""
     lanes, steps = len(lens), int(lens[0]) if len(lens) else 0
-    out = np.zeros((lanes, steps), np.uint32) if ids is None else ids
+    out = np.zeros((steps, lanes), np.int32) if ids is None else ids
+    places = None if ids is None else tables.places(ids)
     lane = np.arange(lanes)
-    id2, sure2 = np.zeros(lanes * T2, np.uint32), np.zeros(lanes * T2, np.uint8)
-    id1, sure1 = np.zeros(lanes * T1, np.uint32), np.zeros(lanes * T1, np.uint8)
-    seen = np.zeros(lanes * T0, np.uint8)
-    first, second = (_Bit(lanes, (2 * MOST + 2, 2 * MOST + 2, 8), 2) for _ in range(2))
-    starts = [(16**k - 1) // 15 for k in range(3)]
-    per_lane = SHORT + HASHED
-    flat = np.ones(lanes * per_lane * 16, np.uint16)
-    counts = flat.reshape(-1, 16)
-    level = np.array([0, 1, 2, 3, 4, 4, 5, 5, 6, 6, 6, 6, *[7] * 244], np.int64)
-    before = before2 = np.zeros(lanes, np.int64)
+    # what orders 2 and 1 predict, and how surely: id << 3 | confidence
+    predicted = np.zeros(lanes * (T2 + T1), np.int32)
+    own = np.stack([lane * T2, lanes * T2 + lane * T1])
+    seen, own_seen = np.zeros(lanes * T0, np.uint8), lane * T0
+    # for each of three models and two decisions: probabilities of yes by context, and weights by whether orders agree
+    chance, weight = np.full(6 * lanes * CONTEXTS, 1 << 15, np.int32), np.full(6 * lanes * 2, (1 << 16) * 2 // 5, np.int32)
+    own_chance = (np.arange(6 * lanes) * CONTEXTS).reshape(3, 2, lanes)
+    own_weight = (np.arange(6 * lanes) * 2).reshape(3, 2, lanes)
+    before, hash2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     live = np.searchsorted(-lens, -np.arange(steps), "left")
+    m, context, slot, valid = -1, None, None, None
     for t in range(steps):
-        m = int(live[t])
-        on, a, b = lane[:m], before[:m], before2[:m]
-        i2 = on * T2 + (((a * 40503 ^ b * 60493) >> 3) & (T2 - 1))
-        i1 = on * T1 + ((a * 40503 >> 4) & (T1 - 1))
-        c2, f2, c1, f1 = id2.take(i2), sure2.take(i2).astype(np.int64), id1.take(i1), sure1.take(i1).astype(np.int64)
-        agree = (c1 == c2).astype(np.int64)
-        x = None if ids is None else ids[:m, t]
-        now = np.zeros(m, np.uint32)
-        open_ = np.ones(m, bool)
-        for bit, ask, c, f, g in ((first, np.flatnonzero(f2), c2, f2, f1), (second, None, c1, f1, f2)):
-            if ask is None:  # order 1: what is still open, if it predicts anything else
-                ask = np.flatnonzero(open_ & (f1 > 0) & ((f2 == 0) | (agree == 0)))
-            if not len(ask):
-                continue
-            p, same = c.take(ask), agree.take(ask)
-            often = level.take(seen.take(ask * T0 + (p & (T0 - 1))))
-            hit = bit.code(coder, ask, (f.take(ask) * 2 + same, g.take(ask) * 2 + same, often), same, None if x is None else x.take(ask) == p)
-            got = ask[hit]
-            now[got] = p[hit]
-            open_[got] = False
-        esc = np.flatnonzero(open_)
-        if len(esc):
-            prefix = np.zeros(len(esc), np.int64)
-            for k in range(nibbles):
-                at = esc * per_lane + (starts[k] + prefix if k < 3 else SHORT + ((prefix * 40503 >> 2) & (HASHED - 1)))
-                row = counts.take(at, 0)
-                cum = np.cumsum(row, 1, dtype=np.int32)
-                v, freq = coder.nibble(esc, row, cum, None if x is None else ((x[esc] >> 4 * (nibbles - 1 - k)) & 15).astype(np.int64))
-                flat[(at << 4) + v] = freq + np.uint64(STEP)
-                full = np.flatnonzero(cum[:, -1] + STEP > LIMIT)
-                if len(full):
-                    counts[at[full]] = (counts[at[full]] >> 1) | 1
-                prefix = prefix * 16 + v
-            now[esc] = prefix.astype(np.uint32)
-        if ids is None:
-            out[:m, t] = now
-        x = now
-        for table, sure, i, c, f in ((id2, sure2, i2, c2, f2), (id1, sure1, i1, c1, f1)):
-            right = c == x
-            kept = f >> 1
-            table[i] = np.where(right | (kept > 0), c, x)
-            sure[i] = np.where(right, np.minimum(f + 1, MOST), np.maximum(kept, 1))
-        i0 = on * T0 + (x & (T0 - 1))
-        seen[i0] = np.minimum(seen[i0], 254) + 1
-        before2, before = before, before.copy()
-        before[:m] = x
+        if m != live[t]:
+            m = int(live[t])
+            context, slot, valid = np.empty((3, 2, m), np.int64), np.empty((2, m), np.int64), np.empty((2, m), bool)
+            at0, at1, atw, ats = own[:, :m], own_chance[:, :, :m], own_weight[:, :, :m], own_seen[:m]
+            before, hash2 = before[:m], hash2[:m]
+        hash1 = before * 40503
+        slot[0] = ((hash1 ^ hash2) >> 3) & (T2 - 1)
+        slot[1] = (hash1 >> 4) & (T1 - 1)
+        hash2 = before * 60493
+        slot += at0
+        entry = predicted.take(slot)
+        c, f = entry >> 3, entry & 7
+        agree = c[0] == c[1]
+        np.greater(f, 0, out=valid)
+        valid[1] &= ~(agree & valid[0])  # what order 1 predicts is asked if it is anything else
+        context[0] = f * 2 + agree
+        context[1] = context[0, ::-1]
+        context[2] = _LEVEL.take(seen.take(ats + (c & (T0 - 1))))
+        context += at1
+        p = chance.take(context)
+        s = _STRETCH.take(p >> 4)
+        at_weight = atw + agree
+        w = weight.take(at_weight)
+        # weights stay under 2^18 and stretched values under 2^11: three products fit 31 bits
+        mixed = _SQUASH.take(np.minimum(np.maximum(np.add.reduce(w * s, 0, np.int32) >> 16, -2047), 2047) + 2047)
+        a, b = _bounds(mixed, valid)
+        x = None if ids is None else ids[t, :m]
+        k = coder.choice(m, a, b, None if x is None else np.where(valid[0] & (x == c[0]), 0, np.where(valid[1] & (x == c[1]), 1, 2)))
+        esc = np.flatnonzero(k == 2)
+        if x is None:
+            x = np.where(k == 0, c[0], c[1])
+            if len(esc):
+                x[esc] = coder.symbol(esc, tables, None)
+            out[t, :m] = x
+        elif len(esc):
+            coder.symbol(esc, tables, places[t].take(esc))
+        # the decisions that were made are learned from
+        right = np.stack([k == 0, k == 1])
+        valid[1] &= k > 0
+        error = (right * np.int32(4095) - mixed) * valid
+        chance[context] = p + (((right * np.int32(65535) - p) >> 4) * valid)
+        weight[at_weight] = np.minimum(np.maximum(w + ((s * (error * 6) + 2048) >> 12), -(1 << 18)), 1 << 18)
+        right = c == x
+        kept = f >> 1
+        predicted[slot] = np.where(right, entry + (f < MOST), np.where(kept > 0, (entry & -8) | kept, x << 3 | 1))
+        i0 = ats + (x & (T0 - 1))
+        seen[i0] = np.minimum(seen.take(i0), 254) + 1
+        before = x.astype(np.int64)
     return out
 
 
-def compress(blocks: list[np.ndarray], nibbles: int = 4) -> list[bytes]:
-    """Each block of ids (below 16 ** nibbles) by itself."""
+def compress(blocks: list[np.ndarray], nibbles: int = 4, order0: list[bytes | None] | None = None) -> list[bytes]:
+    """Each block of ids (below 16 ** nibbles) by itself, with its order 0: `frequencies` that hold all its ids, or none."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     lens = np.array([len(blocks[i]) for i in order], np.int64)
     if not len(lens) or not lens[0]:
         return [b"\0" * 8 for _ in blocks]
-    ids = np.zeros((len(blocks), int(lens[0])), np.uint32)
+    ids = np.zeros((int(lens[0]), len(blocks)), np.int32)
     for row, i in enumerate(order):
-        ids[row, : len(blocks[i])] = blocks[i]
+        ids[: len(blocks[i]), row] = blocks[i]
     w = _Writer(len(blocks), int(lens[0]) * 2 + 8)
-    _run(w, lens, nibbles, ids)
+    _run(w, lens, _Tables([order0[i] if order0 else None for i in order], nibbles), ids)
     out: list[bytes] = [b""] * len(blocks)
     for i, data in zip(order, w.bytes()):
         out[i] = data
     return out
 
 
-def expand(blocks: list[bytes], lens: list[int], nibbles: int = 4) -> list[np.ndarray]:
+def expand(blocks: list[bytes], lens: list[int], nibbles: int = 4, order0: list[bytes | None] | None = None) -> list[np.ndarray]:
     order = sorted(range(len(blocks)), key=lambda i: -lens[i])
     sizes = np.array([lens[i] for i in order], np.int64)
     if not len(sizes) or not sizes[0]:
         return [np.zeros(0, np.uint32) for _ in blocks]
-    ids = _run(_Reader([blocks[i] for i in order]), sizes, nibbles, None)
+    ids = _run(_Reader([blocks[i] for i in order]), sizes, _Tables([order0[i] if order0 else None for i in order], nibbles).with_slots(), None)
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
     for row, i in enumerate(order):
-        out[i] = ids[row, : lens[i]].copy()
+        out[i] = ids[: lens[i], row].astype(np.uint32)
     return out

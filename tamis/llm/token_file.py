@@ -2,12 +2,13 @@
 
 The texts are dealt by ranges of doc_id and sorted; each task encodes its range and cuts the ids into segments, at the
 first document end past SEGMENT ids. A segment is a row of a Parquet folder, so Spark's committer and readers keep it
-safe and find it in any store: part and segment number, the documents' ids and counts, and `data`:
+safe and find it in any store: part and segment number, the documents' ids and counts, `order0` (the frequencies of its
+ids, which its blocks share; range_coder.frequencies), and `data`:
 
-    "TMRC", version (1 byte), nibbles per id (1 byte), blocks (4 bytes), then for each block of BLOCK ids (the last may be
+    "TMRC", version (1 byte: 2), nibbles per id (1 byte), blocks (4 bytes), then for each block of BLOCK ids (the last may be
     shorter): ids, bytes and CRC-32 of the ids as little-endian 32-bit numbers (4 bytes each); then the blocks' bytes.
 
-Each block is range-coded by itself (range_coder.py), so any block can be decoded alone. Reading decodes all blocks of
+Each block is range-coded by itself (range_coder.py), so any block can be decoded alone, given its segment's frequencies. Reading decodes all blocks of
 some segments in lockstep, verifies every CRC-32 and fails on a wrong one.
 
 Where a document starts follows from the segments' totals: sums in a part, and the parts before it. Payloads are never
@@ -33,12 +34,12 @@ from pyspark.sql import functions as F
 
 from .common import drop_table, scratch, table
 from .grams import pieces
-from .range_coder import compress, expand
+from .range_coder import compress, expand, frequencies
 
-BLOCK, SEGMENT, LANES = 4096, 1 << 18, 1024
+BLOCK, SEGMENT, LANES = 4096, 1 << 18, 2048
 #: Characters that the library encodes at once.
 CHARS = 200_000
-SCHEMA = "part int, segment int, first_id {0}, docs int, ids long, doc_ids array<{0}>, counts array<int>, data binary"
+SCHEMA = "part int, segment int, first_id {0}, docs int, ids long, doc_ids array<{0}>, counts array<int>, order0 binary, data binary"
 
 
 class Tokenizer:
@@ -63,12 +64,12 @@ class Tokenizer:
 
 def pack(blocks: list[np.ndarray], coded: list[bytes], nibbles: int) -> bytes:
     heads = b"".join(struct.pack("<III", len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(blocks, coded))
-    return b"TMRC" + struct.pack("<BBI", 1, nibbles, len(blocks)) + heads + b"".join(coded)
+    return b"TMRC" + struct.pack("<BBI", 2, nibbles, len(blocks)) + heads + b"".join(coded)
 
 
 def unpack(data: bytes) -> tuple[int, list[tuple[int, int, bytes]]]:
     """(nibbles, (ids, crc, coded bytes) of each block)."""
-    if data[:4] != b"TMRC" or data[4] != 1:
+    if data[:4] != b"TMRC" or data[4] != 2:
         raise ValueError("not a segment of token ids")
     nibbles, n = struct.unpack_from("<BI", data, 5)
     at, out = 10 + 12 * n, []
@@ -94,13 +95,15 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, nibbl
         def rows():
             blocks = [np.concatenate(i) for _, i, _ in held]
             cut = [[b[k : k + BLOCK] for k in range(0, len(b), BLOCK)] for b in blocks]
-            coded = iter(compress([x for c in cut for x in c], nibbles))
+            order0 = [frequencies(b) for b in blocks]
+            coded = iter(compress([x for c in cut for x in c], nibbles, [f for f, c in zip(order0, cut) for _ in c]))
             data = [pack(c, [next(coded) for _ in c], nibbles) for c in cut]
             return pa.RecordBatch.from_arrays([
                 pa.array([part] * len(held), pa.int32()), pa.array(range(number - len(held), number), pa.int32()), pa.array([d[0] for d, _, _ in held], arrow),
                 pa.array([len(d) for d, _, _ in held], pa.int32()), pa.array([sum(c) for _, _, c in held], pa.int64()),
-                pa.array([d for d, _, _ in held], pa.list_(arrow)), pa.array([c for _, _, c in held], pa.list_(pa.int32())), pa.array(data, pa.binary()),
-            ], names=["part", "segment", "first_id", "docs", "ids", "doc_ids", "counts", "data"])
+                pa.array([d for d, _, _ in held], pa.list_(arrow)), pa.array([c for _, _, c in held], pa.list_(pa.int32())),
+                pa.array(order0, pa.binary()), pa.array(data, pa.binary()),
+            ], names=["part", "segment", "first_id", "docs", "ids", "doc_ids", "counts", "order0", "data"])
 
         doc_ids: list = []
         waiting = 0
@@ -145,7 +148,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, path: str, digest: bool) -> DataFrame:
-    stored = spark.read.parquet(path).select("part", "segment", "doc_ids", "counts", "data")
+    stored = spark.read.parquet(path).select("part", "segment", "doc_ids", "counts", "order0", "data")
     kind = stored.schema["doc_ids"].dataType.elementType.simpleString()
     what = "n_tokens long, ids_crc32 long" if digest else "ids array<int>"
 
@@ -153,9 +156,9 @@ def _read(spark: SparkSession, path: str, digest: bool) -> DataFrame:
         held, lanes = [], 0
         for b in batches:
             for row in range(b.num_rows):
-                part, segment, docs, counts, data = (b.column(i)[row] for i in range(5))
+                part, segment, docs, counts, order0, data = (b.column(i)[row] for i in range(6))
                 nibbles, blocks = unpack(data.as_py())
-                held.append((part.as_py(), segment.as_py(), docs.values, np.array(counts.as_py(), np.int64), nibbles, blocks))
+                held.append((part.as_py(), segment.as_py(), docs.values, np.array(counts.as_py(), np.int64), nibbles, blocks, order0.as_py()))
                 lanes += len(blocks)
                 if lanes >= LANES:
                     yield held
@@ -168,12 +171,12 @@ def _read(spark: SparkSession, path: str, digest: bool) -> DataFrame:
             for nibbles in {h[4] for h in held}:
                 some = [h for h in held if h[4] == nibbles]
                 every = [x for h in some for x in h[5]]
-                plain = expand([c for _, _, c in every], [n for n, _, _ in every], nibbles)
+                plain = expand([c for _, _, c in every], [n for n, _, _ in every], nibbles, [h[6] for h in some for _ in h[5]])
                 for (_, crc, _), ids in zip(every, plain):
                     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
                         raise ValueError("a block of token ids doesn't have its checksum")
                 at = 0
-                for part, segment, docs, counts, _, blocks in some:
+                for part, segment, docs, counts, _, blocks, _ in some:
                     ids = np.concatenate(plain[at : at + len(blocks)]).astype("<u4")
                     at += len(blocks)
                     ends = np.cumsum(counts)

@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -67,3 +68,50 @@ def test_edge_cases(spark, tmp_path):
     ids = {r.doc_id: r.ids for r in token_file.read_ids(spark, path).collect()}
     assert ids[2] == [9] and len(ids[7]) > 20000
     assert token_file.round_trip(spark.createDataFrame([], DOCS), PATH).count() == 0
+
+
+def test_coding_both_ways_takes_less_time_than_the_library():
+    """op2's time: ids of real texts, each way against the library that made them; and the frequencies that blocks share pay."""
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    library = token_file.Tokenizer(PATH)
+    clock = time.process_time
+    began = clock()
+    ids = np.concatenate(library.encode(texts))[: 256 * 4096]
+    encoding = (clock() - began) * len(ids) / sum(map(len, library.encode(texts)))
+    blocks, shared = [ids[k : k + 4096] for k in range(0, len(ids), 4096)], range_coder.frequencies(ids)
+    began = clock()
+    coded = range_coder.compress(blocks, 4, [shared] * len(blocks))
+    writing, began = clock() - began, clock()
+    back = range_coder.expand(coded, [len(b) for b in blocks], 4, [shared] * len(blocks))
+    reading = clock() - began
+    assert np.array_equal(np.concatenate(back), ids)
+    assert sum(map(len, coded)) + len(shared) < sum(map(len, range_coder.compress(blocks)))
+    assert writing + reading < 3 * encoding
+
+
+def test_an_id_beyond_the_nibbles_is_an_error():
+    ids = np.array([5, 1 << 16], np.uint32)
+    with pytest.raises(ValueError):
+        range_coder.compress([ids], 4, [range_coder.frequencies(ids)])
+    wide = np.arange(1 << 18, dtype=np.uint32)[::-1] * 3
+    blocks = [wide[k : k + 4096] for k in range(0, len(wide), 4096)]
+    shared = [range_coder.frequencies(wide)] * len(blocks)
+    assert np.array_equal(np.concatenate(range_coder.expand(range_coder.compress(blocks, 5, shared), [4096] * 64, 5, shared)), wide)
+
+
+def test_every_choice_has_a_share():
+    """However sure the orders are: a choice without a share could be written, but not read."""
+    mixed = np.array(np.meshgrid([1, 2, 3, 4, 2048, 4092, 4093, 4094, 4095], [1, 2, 3, 4, 2048, 4092, 4093, 4094, 4095]), np.int32).reshape(2, -1)
+    for asked in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        valid = np.repeat(np.array(asked, bool)[:, None], mixed.shape[1], 1)
+        a, b = range_coder._bounds(mixed, valid)
+        assert np.array_equal(a > 0, valid[0]) and np.array_equal(b > a, valid[1]) and (b < 65536).all()
+    # long runs that break off
+    rng = np.random.default_rng(1)
+    blocks = []
+    for _ in range(200):
+        parts = [x for _ in range(12) for x in (np.full(rng.integers(100, 400), 7), rng.choice([5, 7, 9, 50000], rng.integers(1, 30)), np.array([5, 9, 7]))]
+        blocks.append(np.concatenate(parts).astype(np.uint32))
+    shared = [range_coder.frequencies(np.concatenate(blocks))] * len(blocks)
+    back = range_coder.expand(range_coder.compress(blocks, 4, shared), [len(b) for b in blocks], 4, shared)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, back))
