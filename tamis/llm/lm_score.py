@@ -26,17 +26,18 @@ from __future__ import annotations
 
 import pickle
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
-from itertools import chain, islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, drop_table, row_keys, table
+from .common import drop_table, row_keys, table
 from .grams import pieces
 
 KNOWN = 200_000
@@ -49,6 +50,8 @@ REMEMBERED = 200_000
 COUNTED, SLICE = 100_000, 20_000
 #: Occurrences of a row in a batch that are added one rank at a time; those beyond, of few rows, by segment.
 RANKS = 8
+#: Tokens, or rows of the table, whose weights are in hand at once, so that they stay in a core's cache.
+CHUNK = 2048
 #: Logits are kept within these bounds, far beyond what training reaches, so that sums of 32-bit exponentials stay finite.
 _MOST = np.float32(60)
 #: Before a text's first token.
@@ -83,8 +86,19 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(LOWER_BYTES).split()
+def words_in(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(the number of every word among the distinct ones, these by their first place, the words of each text)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    coded, sizes = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    index, words = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    if b"" in words:  # before or after white space at a text's end
+        empty = words.index(b"")
+        del words[empty]
+        kept, ends = index != empty, np.cumsum(sizes)
+        until = np.r_[0, np.cumsum(kept)]
+        index, sizes = index[kept], until[ends] - until[ends - sizes]
+        index = index - (index > empty)
+    return index, words, sizes
 
 
 def token_counts(texts: DataFrame, column: str = "text") -> DataFrame:
@@ -101,8 +115,8 @@ def token_counts(texts: DataFrame, column: str = "text") -> DataFrame:
         for b in batches:
             for part in pieces(b, 0, 1_000_000):
                 seen[END] += part.num_rows
-                for x in part.column(0):
-                    seen.update(words_of(x.as_py()))
+                index, words, _ = words_in(part.column(0))
+                seen.update(dict(zip(words, np.bincount(index, minlength=len(words)).tolist())))
                 if len(seen) > COUNTED:
                     yield from out()
                     seen = Counter()
@@ -173,47 +187,44 @@ def vocabulary(counts: DataFrame, known: int | None = None) -> Vocabulary:
     return Vocabulary(int(totals.n), int(totals.v), shape, words, c, leaves, mass)
 
 
-class _Numbers(dict):
-    """Numbers words in the order of their first lookup."""
-
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
-
-
 class Reader:
-    """Turns texts into numbers of words, with what is needed of each word: hash, leaf, rank and count."""
+    """Turns texts into numbers of words, with what is needed of each word: hash, leaf, rank and count.
+
+    The known words' numbers are their ranks; others are numbered as they come and forgotten when there are too many."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.logs = v, np.log10(v.counts + 1)
+        self.v, self.known, self.most_rare = v, len(v.words), np.uint32(v.shape.width**2)
+        own = len(v.leaves)
+        leaf = np.r_[v.leaves, self._rare(v.words[own:])].astype(np.int32)
+        hashes = np.r_[np.uint32(1), self._hashes(v.words[1:])]  # the end comes first
+        self.of_known = hashes, leaf, np.log10(v.counts + 1), np.arange(self.known, dtype=np.int64)
         self.forget()
 
+    def _rare(self, words: list) -> np.ndarray:
+        return self.v.shape.own + (self._hashes([w[-3:] for w in words]) % self.most_rare).astype(np.int32)
+
+    def _hashes(self, words: list) -> np.ndarray:
+        return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+
     def forget(self):
-        self.number = _Numbers()
-        self.hash, self.leaf, self.log, self.rank = (np.zeros(0, t) for t in (np.uint32, np.int32, np.float64, np.int64))
+        self.number = defaultdict(count(self.known).__next__, zip(self.v.words, range(self.known)))
+        self.hash, self.leaf, self.log, self.rank = self.of_known
 
-    def tokens(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of all tokens; first token of each text and the end)."""
-        if len(self.number) > REMEMBERED:
+        if len(self.number) > self.known + REMEMBERED:
             self.forget()
         number = self.number
-        number[END]  # the first lookup: 0
-        split = [words_of(t) for t in texts]
-        for ws in split:
-            ws.append(END)
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        flat = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int32, int(sizes.sum()))
+        index, words, sizes = words_in(texts)
+        first = np.r_[0, np.cumsum(sizes + 1)]
+        flat, word = np.zeros(int(first[-1]), np.int32), np.ones(int(first[-1]), bool)  # the end's number is 0
+        word[first[1:] - 1] = False
+        flat[word] = np.fromiter(map(number.__getitem__, words), np.int32, len(words)).take(index)
         if len(number) > len(self.leaf):
             new = list(islice(number, len(self.leaf), None))
-            ranks, own = self.v.ranks(), len(self.v.leaves)
-            rank = np.fromiter((ranks.get(w, -1) for w in new), np.int64, len(new))
-            leaf = np.where((rank >= 0) & (rank < own), self.v.leaves[np.clip(rank, 0, own - 1)], -1)
-            far = np.flatnonzero(leaf < 0)
-            leaf[far] = np.fromiter((self.v.rare_leaf(new[i]) for i in far.tolist()), np.int64, len(far))
-            hashes = np.fromiter((zlib.crc32(w) if w is not END else 1 for w in new), np.uint32, len(new))
-            log = np.where(rank >= 0, self.logs[rank], 0.0)
-            self.hash, self.leaf, self.rank, self.log = np.r_[self.hash, hashes], np.r_[self.leaf, leaf.astype(np.int32)], np.r_[self.rank, rank], np.r_[self.log, log]
-        return flat, np.r_[0, np.cumsum(sizes)]
+            self.hash, self.leaf = np.r_[self.hash, self._hashes(new)], np.r_[self.leaf, self._rare(new)]
+            self.log, self.rank = np.r_[self.log, np.zeros(len(new))], np.r_[self.rank, np.full(len(new), -1)]
+        return flat, first
 
 
 def features(word: np.ndarray, leaf: np.ndarray, first: np.ndarray, shape: Shape) -> list[np.ndarray]:
@@ -274,8 +285,8 @@ class Model:
     def log_prob(self, word: np.ndarray, leaf: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log of P(leaf | context) for each token."""
         found, out = features(word, leaf, first, self.shape), np.zeros(len(leaf))
-        for at in range(0, len(leaf), BATCH):
-            s = slice(at, at + BATCH)
+        for at in range(0, len(leaf), CHUNK):
+            s = slice(at, at + CHUNK)
             row = np.arange(len(leaf[s]))
             for level, node, branch in self.steps(leaf[s]):
                 out[s] += _log_softmax_at(self.logits(found[level][:, s], level, node), row, branch)
@@ -297,24 +308,22 @@ def _softmax_loss(z, row, col):
     return z
 
 
-def _sums(gradient, token, starts):
-    """The sums of gradient[token] by segment, and the segments' order: longest first.
+def _sums(gradient, token, at, size):
+    """The sums of gradient[token] by segment; they start at `at`, the longest first.
 
     Most segments are short, so they are added one rank of their members at a time."""
-    size = np.diff(np.r_[starts, len(token)])
-    by = np.argsort((-size).astype(np.int16), kind="stable")
-    at, size = starts[by], size[by]
-    out = gradient.take(token[at], 0)
+    out = gradient.take(token.take(at), 0)
     longer = np.searchsorted(-size, -np.arange(1, RANKS + 1), "left")  # segments of more than 1, 2, ... members
     for j, m in enumerate(longer[:-1].tolist(), 1):
-        if m:
-            out[:m] += gradient.take(token[at[:m] + j], 0)
+        if not m:
+            break
+        out[:m] += gradient.take(token.take(at[:m] + j), 0)
     if m := int(longer[-1]):
         left = size[:m] - RANKS
         first = np.cumsum(left) - left
         place = np.repeat(at[:m] + RANKS - first, left) + np.arange(int(left.sum()))
         out[:m] += np.add.reduceat(gradient.take(token[place], 0), first, axis=0)
-    return out, by
+    return out
 
 
 def _order(rows: np.ndarray, most: int) -> np.ndarray:
@@ -332,14 +341,18 @@ def _descend(weights, squares, rows, gradient, rate):
     sorted_ = flat.take(order)
     starts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
     token = np.tile(np.arange(len(gradient), dtype=np.int32), len(rows)).take(order)
-    g, by = _sums(gradient, token, starts)
-    used = sorted_.take(starts.take(by))
-    total = squares.take(used) + np.einsum("ij,ij->i", g, g) / g.shape[1]
-    squares[used] = total
-    g *= (rate / np.sqrt(total))[:, None]
-    np.subtract(weights.take(used, 0), g, out=g)
+    size = np.diff(np.r_[starts, len(token)])
+    by = np.argsort((-size).astype(np.int16), kind="stable")
+    at, size = starts.take(by), size.take(by)
     whole = f"V{weights.itemsize * weights.shape[1]}"  # rows are put back as one element each
-    weights.view(whole)[used, 0] = g.view(whole)[:, 0]
+    for k in range(0, len(at), CHUNK):
+        some = at[k : k + CHUNK]
+        g, used = _sums(gradient, token, some, size[k : k + CHUNK]), sorted_.take(some)
+        total = squares.take(used) + np.einsum("ij,ij->i", g, g) / g.shape[1]
+        squares[used] = total
+        g *= (rate / np.sqrt(total))[:, None]
+        np.subtract(weights.take(used, 0), g, out=g)
+        weights.view(whole)[used, 0] = g.view(whole)[:, 0]
 
 
 def train_on(model: Model, word: np.ndarray, leaf: np.ndarray, first: np.ndarray, squares: np.ndarray, met: np.ndarray, rate: float = RATE) -> None:
@@ -349,10 +362,13 @@ def train_on(model: Model, word: np.ndarray, leaf: np.ndarray, first: np.ndarray
         met += np.bincount(rows.ravel(), minlength=len(met))
     for at in range(0, len(leaf), BATCH):
         s = slice(at, at + BATCH)
-        row = np.arange(len(leaf[s]))
+        row, n = np.arange(CHUNK), len(leaf[s])
         for level, node, branch in model.steps(leaf[s]):
-            rows = found[level][:, s]
-            _descend(model.weights, squares, rows, _softmax_loss(model.logits(rows, level, node), row, branch), rate)
+            rows, gradient = found[level][:, s], np.empty((n, model.shape.width), np.float32)
+            for k in range(0, n, CHUNK):
+                c = slice(k, min(k + CHUNK, n))
+                gradient[c] = _softmax_loss(model.logits(rows[:, c], level, node[c]), row[: c.stop - k], branch[c])
+            _descend(model.weights, squares, rows, gradient, rate)
 
 
 def _learn(dealt: DataFrame, v: Vocabulary, start: Model) -> Model:
@@ -366,7 +382,7 @@ def _learn(dealt: DataFrame, v: Vocabulary, start: Model) -> Model:
         squares, met = np.ones(len(began), np.float32), np.zeros(len(began), np.int64)
         for b in batches:
             for part in pieces(b, 0, 2_000_000):
-                numbers, first = reader.tokens(part.column(0).to_pylist())
+                numbers, first = reader.tokens(part.column(0))
                 train_on(model, reader.hash[numbers], reader.leaf[numbers], first, squares, met)
         for at in range(0, len(began), TOGETHER):
             on = np.flatnonzero(met[at : at + TOGETHER])
@@ -421,7 +437,7 @@ def score(docs: DataFrame, v: Vocabulary, model: Model, counts: DataFrame) -> Da
         for b in batches:
             for part in pieces(b, 1, 2_000_000):
                 ids = part.column(0)
-                numbers, first = reader.tokens(part.column(1).to_pylist())
+                numbers, first = reader.tokens(part.column(1))
                 leaf, rank, log = reader.leaf[numbers], reader.rank[numbers], reader.log[numbers]
                 each = m.log_prob(reader.hash[numbers], leaf, first) / np.log(10) + np.where(leaf >= own, log, 0.0) - log_mass[leaf]
                 sums = [np.add.reduceat(x, first[:-1]) for x in (((rank >= 0) & (known.counts[rank] > 0)).astype(np.int64), log, each)]

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from helpers import DOCS
 from tamis.llm import lm_score as lm
@@ -104,3 +105,32 @@ def test_edge_cases(spark):
     assert lm.score_corpus(spark.createDataFrame([], DOCS)).count() == 0
     alone = [(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2), "never trained")]
     check(lm.score_corpus(spark.createDataFrame(alone, DOCS)).collect(), alone)
+
+
+def test_each_distinct_word_is_looked_up_once():
+    """op8's time: a batch's words are looked up once each, not once per token; numbers equal a plain split's."""
+    texts = ["  Ab\x85 \tC  ", "", " ", "x", None, "É é\x0b\x0cq\x1c\r\n", "\n", "ab c ab c " * 500, "c\xa0d"]
+    shape = lm.Shape(8, 1024, 2)
+    words = [None, b"c", b"x"]
+    known = lm.Vocabulary(9, 9, shape, words, np.array([9, 5, 2]), np.array([5, 40, 41], np.int32), np.ones(shape.leaves))
+    reader, looked = lm.Reader(known), Counter()
+
+    class Counted(type(reader.number)):
+        def __getitem__(self, word):
+            looked[word] += 1
+            return super().__getitem__(word)
+
+    factory = (reader.number.default_factory,) if hasattr(reader.number, "default_factory") else ()
+    reader.number = Counted(*factory, reader.number)
+    for _ in range(2):
+        looked.clear()
+        numbers, first = reader.tokens(pa.array(texts))
+        assert max(n for w, n in looked.items() if w is not None) == 1
+        low = str.maketrans(UPPER, UPPER.lower())
+        plain = [(t or "").translate(low).encode().split() + [None] for t in texts]
+        assert first.tolist() == [0, *np.cumsum([len(p) for p in plain])]
+        name = list(reader.number)
+        assert [name[i] for i in numbers] == [w for p in plain for w in p]
+        for w, i in zip((w for p in plain for w in p), numbers):
+            rank = words.index(w) if w in words else -1
+            assert (reader.rank[i], reader.leaf[i], reader.hash[i]) == (rank, known.leaf(w), 1 if w is None else zlib.crc32(w))
