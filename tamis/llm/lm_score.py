@@ -45,7 +45,8 @@ BATCH, RATE = 8192, 0.2
 #: Rounds of averaging, and rows of the table that travel together.
 ROUNDS, TOGETHER = 2, 256
 END = None
-REMEMBERED = 200_000
+#: Words beyond the known ones that a task remembers.
+REMEMBERED = 100_000
 #: Distinct words that a task counts before it hands its counts on, and rows of an Arrow batch.
 COUNTED, SLICE = 100_000, 20_000
 #: Occurrences of a row in a batch that are added one rank at a time; those beyond, of few rows, by segment.
