@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import frugal
+
 #: The white space of Unicode, and the pattern of the vocabulary with it written out.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
@@ -245,6 +247,7 @@ class Encoder:
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", pattern: str = PATTERN) -> DataFrame:
     """(id, ids array<int>) of every row of docs; a null or empty text has no ids."""
 
+    @frugal
     def run(batches):
         e = Encoder(path, pattern)
         for b, rows in e.windows(batches):
@@ -259,6 +262,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", pattern: st
 def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, decoded binary) of every row of encoded (id, ids); null ids are none."""
 
+    @frugal
     def run(batches):
         tokens = vocabulary(path).tokens
         for b in batches:
@@ -272,6 +276,7 @@ def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFra
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", pattern: str = PATTERN) -> DataFrame:
     """id, n_tokens, ids_sha256 (of the decimal ids joined by blanks), decoded_sha256 (of the bytes decoded from the ids)."""
 
+    @frugal
     def run(batches):
         e = Encoder(path, pattern)
         text = [str(i) for i in range(len(e.v.tokens))]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, row_keys, table
+from .common import LOWER_BYTES, frugal, row_keys, table
 
 TERMS, RANK, HALF = 1 << 14, 64, 24
 COSINE, LEAK, PARAPHRASE, ANSWER = 0.2, 0.7, 0.6, 6
@@ -49,6 +49,7 @@ def words(text: str | None) -> np.ndarray:
 def hashed_words(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, words: CRC-32 of each word as little-endian bytes)."""
 
+    @frugal
     def run(batches):
         for b in batches:
             out = [words(x.as_py()).astype("<u4").tobytes() for x in b.column(1)]
@@ -111,6 +112,7 @@ def _chunks(batches, column: int, most: int = AT_ONCE * 4):
 def document_frequencies(hashed: DataFrame) -> tuple[np.ndarray, int]:
     """(blocks that have each term, all blocks)."""
 
+    @frugal
     def run(batches):
         df, n = np.zeros(TERMS, np.int64), 0
         for _, texts in _chunks(batches, 0):
@@ -136,6 +138,7 @@ def right_vectors(hashed: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.nd
     shared = spark.sparkContext.broadcast((idf, probe * idf[:, None]))  # 4 MB
     names = [f"c{i}" for i in range(rank)]
 
+    @frugal
     def run(batches):
         weight, weighted = shared.value
         total = np.zeros((TERMS, rank))
@@ -249,6 +252,7 @@ def search(hashed: DataFrame, vectors: np.ndarray, rarity: np.ndarray, items: li
     shared = hashed.sparkSession.sparkContext.broadcast(pickle.dumps((vectors, rarity, items, parts, normed(rows))))  # ITEMS items at most
     id_kind, item_kind = hashed.schema["doc_id"].dataType.simpleString(), "long" if items and isinstance(items[0][0], int) else "string"
 
+    @frugal
     def run(batches):
         v, rarity, items, parts, rows = pickle.loads(shared.value)
         telling = Telling([w for _, w, _ in items], rarity, min(leak, paraphrase))

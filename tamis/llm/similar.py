@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, drop_table, table
+from .common import LOWER_BYTES, drop_table, frugal, table
 from .components import components
 from .grams import pieces
 from .simhash import BITS, SPLIT, _by_groups, _dealt, _join, _only, _row_key, linked_rows
@@ -77,6 +77,7 @@ def sketches(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows: in
     own = docs.select(_row_key(), "text")
     kind = own.schema["key"].dataType.simpleString()
 
+    @frugal
     def run(batches):
         keys = _keys(bands, rows)
         for b in batches:
@@ -95,6 +96,7 @@ def _candidates(dealt: DataFrame, radius: int) -> DataFrame:
     """u, v: a forest over the classes of each bucket whose fingerprints are within radius bits."""
     own = dealt.select("node", "fp", "band", "key", "p", "q").repartition("band", "key", "p", "q").sortWithinPartitions("band", "key", "p", "q", "node")
 
+    @frugal
     def run(batches):
         for cols, group in _by_groups(batches, 6, slice(2, 6)):
             i, j = linked_rows(cols[1].view(np.uint64), group, radius)
@@ -136,6 +138,7 @@ def _verified(dealt: DataFrame, least: float) -> DataFrame:
     """u, v: a forest of the links between the sets of each group (root, p, q)."""
     own = dealt.select("node", "set", "root", "p", "q").repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "node")
 
+    @frugal
     def run(batches):
         def out():
             if len(nodes) > 1:
