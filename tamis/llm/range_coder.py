@@ -20,6 +20,8 @@ import zlib
 import numpy as np
 
 T2, T1, T0 = 1 << 12, 1 << 11, 1 << 10
+#: Ids below this are counted in an array with a place for each.
+COUNTED = 1 << 20
 #: The greatest confidence, and contexts of a probability that is mixed.
 MOST, CONTEXTS = 7, 16
 _FULL = (1 << 64) - 1
@@ -137,7 +139,12 @@ class _Reader:
 
 def frequencies(ids: np.ndarray) -> bytes:
     """Order 0 for blocks of these ids: the ids that are met and their frequencies, scaled to a power of two at most."""
-    found, n = np.unique(ids, return_counts=True)
+    if len(ids) and ids.max() < COUNTED:
+        n = np.bincount(ids)
+        found = np.flatnonzero(n)
+        n = n[found]
+    else:
+        found, n = np.unique(ids, return_counts=True)
     bits = max(16, len(found).bit_length() + 2)
     scaled = 1 + n.astype(np.int64) * ((1 << bits) - len(found)) // max(len(ids), 1)
     return struct.pack("<BI", bits, len(found)) + zlib.compress(np.r_[np.diff(found.astype(np.int64), prepend=0), scaled].astype("<u4").tobytes())
@@ -215,11 +222,12 @@ def _run(coder, lens: np.ndarray, tables: _Tables, ids: np.ndarray | None) -> np
     own_weight = (np.arange(6 * lanes) * 2).reshape(3, 2, lanes)
     before, hash2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     live = np.searchsorted(-lens, -np.arange(steps), "left")
-    m, context, slot, valid = -1, None, None, None
+    m, context, slot, valid, made, step = -1, None, None, None, None, None
     for t in range(steps):
         if m != live[t]:
             m = int(live[t])
             context, slot, valid = np.empty((3, 2, m), np.int64), np.empty((2, m), np.int64), np.empty((2, m), bool)
+            made, step = np.empty((2, m), bool), np.empty((3, 2, m), np.int32)
             at0, at1, atw, ats = own[:, :m], own_chance[:, :, :m], own_weight[:, :, :m], own_seen[:m]
             before, hash2 = before[:m], hash2[:m]
         hash1 = before * 40503
@@ -227,7 +235,7 @@ def _run(coder, lens: np.ndarray, tables: _Tables, ids: np.ndarray | None) -> np
         slot[1] = (hash1 >> 4) & (T1 - 1)
         hash2 = before * 60493
         slot += at0
-        entry = predicted.take(slot)
+        entry = predicted.take(slot, mode="clip")
         c, f = entry >> 3, entry & 7
         agree = c[0] == c[1]
         np.greater(f, 0, out=valid)
@@ -236,12 +244,17 @@ def _run(coder, lens: np.ndarray, tables: _Tables, ids: np.ndarray | None) -> np
         context[1] = context[0, ::-1]
         context[2] = _LEVEL.take(seen.take(ats + (c & (T0 - 1))))
         context += at1
-        p = chance.take(context)
-        s = _STRETCH.take(p >> 4)
+        p = chance.take(context, mode="clip")
+        s = _STRETCH.take(p >> 4, mode="clip")
         at_weight = atw + agree
-        w = weight.take(at_weight)
+        w = weight.take(at_weight, mode="clip")
         # weights stay under 2^18 and stretched values under 2^11: three products fit 31 bits
-        mixed = _SQUASH.take(np.minimum(np.maximum(np.add.reduce(w * s, 0, np.int32) >> 16, -2047), 2047) + 2047)
+        np.multiply(w, s, out=step)
+        total = step[0] + step[1]
+        total += step[2]
+        total >>= 16
+        total += 2047
+        mixed = _SQUASH.take(total, mode="clip")
         a, b = _bounds(mixed, valid)
         x = None if ids is None else ids[t, :m]
         k = coder.choice(m, a, b, None if x is None else np.where(valid[0] & (x == c[0]), 0, np.where(valid[1] & (x == c[1]), 1, 2)))
@@ -254,11 +267,19 @@ def _run(coder, lens: np.ndarray, tables: _Tables, ids: np.ndarray | None) -> np
         elif len(esc):
             coder.symbol(esc, tables, places[t].take(esc))
         # the decisions that were made are learned from
-        right = np.stack([k == 0, k == 1])
+        np.equal(k, 0, out=made[0])
+        np.equal(k, 1, out=made[1])
         valid[1] &= k > 0
-        error = (right * np.int32(4095) - mixed) * valid
-        chance[context] = p + (((right * np.int32(65535) - p) >> 4) * valid)
-        weight[at_weight] = np.minimum(np.maximum(w + ((s * (error * 6) + 2048) >> 12), -(1 << 18)), 1 << 18)
+        np.subtract(made * np.int32(65535), p, out=step)
+        step >>= 4
+        step *= valid
+        p += step
+        chance[context] = p
+        s *= (made * np.int32(4095) - mixed) * valid * np.int32(6)
+        s += 2048
+        s >>= 12
+        w += s
+        weight[at_weight] = np.clip(w, -(1 << 18), 1 << 18, out=w)
         right = c == x
         kept = f >> 1
         predicted[slot] = np.where(right, entry + (f < MOST), np.where(kept > 0, (entry & -8) | kept, x << 3 | 1))

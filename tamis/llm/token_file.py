@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,7 @@ class Tokenizer:
         for i, t in enumerate(texts):
             size += len(t)
             if size >= CHARS or i == len(texts) - 1:
-                out += [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts[at : i + 1], add_special_tokens=False)]
+                out += [np.array(array("I", e.ids), np.uint32) for e in self.library.encode_batch_fast(texts[at : i + 1], add_special_tokens=False)]
                 at, size = i + 1, 0
         return out
 
