@@ -1,13 +1,17 @@
 """Line dedup with DataFrame functions only.
 
-Every line with a key becomes a row of two 64-bit hashes, its document and its position. The rows are dealt by ranges
-of (hash, salt) and sorted by hash, salt, document and position; the salt comes from the document, so a line that a
+Every line with a key becomes a row of two 64-bit hashes, its document and its position. The rows are dealt by
+(hash, salt) and sorted by hash, salt, document and position; the salt comes from the document, so a line that a
 third of all documents share still lies in SALTS pieces. Each piece is streamed once: a document that differs from the
 row before counts, the first row is the piece's first occurrence. The pieces of a key are summed after that, at most
 SALTS rows each. The pieces of keys that qualify meet the line rows again, piece by piece, and what is dropped comes
 back as one run-length compressed keep bitmap per document: [kept, dropped, kept, ...] lines. Texts meet their bitmaps
 at the end.
 
+Nothing is written but shuffles. Both uses of the line rows need the same columns, dealt the same way, so Spark makes
+that shuffle once and reads it twice (a test holds it to that); a scratch table would be a file for each task, and on
+a local store Hadoop starts two processes (chmod) for each.
+
 Defined results: a null or empty text is one empty line; lines whose key is shorter than min_chars always stay; rows
 with the same doc_id are one document for counting, and each keeps its own row; a null doc_id is a document of its own;
 columns of the input named n_lines, n_dropped, keep_bitmap or kept are replaced, all others are kept.
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, row_keys, table
+from .common import SPACE, ascii_lower, row_keys
 
 SALTS = 1024
 
@@ -34,20 +38,19 @@ def line_rows(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     rows = docs.select("doc_id", r.alias("r"), q.alias("q"), F.posexplode(F.transform(_lines(F.col("text")), key)).alias("pos", "key"))
     rows = rows.where(F.char_length("key") >= min_chars)
     return rows.select(
-        F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("g"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("s"), "doc_id", "r", "q", "pos"
+        F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("g"), F.xxhash64("doc_id").bitwiseAND(F.lit(SALTS - 1)).cast("int").alias("s"), "doc_id", "r", "q", "pos"
     )
 
 
 def shared_keys(rows: DataFrame, min_docs: int) -> DataFrame:
-    """h, g, s, n_docs, first (doc_id, pos): the pieces of the keys in min_docs documents or more."""
-    ranged = rows.repartitionByRange("h", "s").sortWithinPartitions("h", "g", "s", "doc_id", "pos")
-    w = Window.partitionBy("h", "g", "s").orderBy("doc_id", "pos")
-    streamed = ranged.select(
-        "h", "g", "s", "doc_id", "pos", F.row_number().over(w).alias("rn"), F.lag("doc_id").over(w).alias("before")
-    ).withColumn("new_doc", ((F.col("rn") == 1) | ~F.col("doc_id").eqNullSafe(F.col("before"))).cast("long"))
-    pieces = table(streamed.groupBy("h", "g", "s").agg(F.sum("new_doc").alias("n"), F.min(F.when(F.col("rn") == 1, F.struct("doc_id", "pos"))).alias("first")))
-    keys = pieces.groupBy("h", "g").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") >= min_docs)
-    return pieces.select("h", "g", "s").join(keys, ["h", "g"])
+    """h, g, s, first (doc_id, pos): the pieces of the keys in min_docs documents or more."""
+    w = Window.partitionBy("h", "g", "s").orderBy("doc_id", "pos", "r", "q")
+    streamed = rows.select("*", F.row_number().over(w).alias("rn"), F.lag("doc_id").over(w).alias("before"))
+    streamed = streamed.withColumn("new_doc", ((F.col("rn") == 1) | ~F.col("doc_id").eqNullSafe(F.col("before"))).cast("long"))
+    pieces = streamed.groupBy("h", "g", "s").agg(F.sum("new_doc").alias("n"), F.min(F.when(F.col("rn") == 1, F.struct("doc_id", "pos"))).alias("first"))
+    key = Window.partitionBy("h", "g")
+    summed = pieces.select("h", "g", "s", F.sum("n").over(key).alias("n_docs"), F.min("first").over(key).alias("first"))
+    return summed.where(F.col("n_docs") >= min_docs).drop("n_docs")
 
 
 def _with_bitmap(df: DataFrame) -> DataFrame:
@@ -69,11 +72,10 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep:
     """
     if keep not in ("none", "first"):
         raise ValueError(f"keep must be none or first, not {keep!r}")
-    rows = table(line_rows(docs, min_chars))
-    keys = shared_keys(rows, min_docs)
-    lost = rows.join(keys.select("h", "g", "s", "first"), ["h", "g", "s"])
-    if keep == "first":
-        lost = lost.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))))
+    rows = line_rows(docs, min_chars)
+    own, first = F.struct(rows["doc_id"], rows["pos"]), F.col("keys.first")
+    keys = shared_keys(rows, min_docs).alias("keys")
+    lost = rows.join(keys, ["h", "g", "s"]).where(own >= first if keep == "none" else own > first)
     return lost.groupBy("r", "q").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 

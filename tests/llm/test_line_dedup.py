@@ -1,6 +1,7 @@
 import hashlib
 
 from helpers import DOCS
+from tamis.llm import common
 from tamis.llm.line_dedup import dedup_lines
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -42,3 +43,18 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
 def test_nothing_dropped_keeps_the_text(spark):
     (r,) = dedup_lines(spark.createDataFrame([(1, "a\n\nb")], DOCS)).collect()
     assert hashlib.sha256(r.kept.encode()).hexdigest() == hashlib.sha256(b"a\n\nb").hexdigest() and r.keep_bitmap == [3]
+
+
+def test_line_rows_are_made_once_and_not_written(spark, monkeypatch):
+    """A scratch file for each task meant two processes (chmod) for each; children of an executor counted with its memory (stopped over 3000 MB)."""
+    asked, threshold = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr("tamis.llm.common.scratch", lambda s, f=common.scratch: asked.append(f(s)) or asked[-1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are not small
+    try:
+        for keep in ("none", "first"):
+            out = dedup_lines(spark.createDataFrame([(i, f"head\nown {i}\nhead") for i in range(40)], DOCS), 10, keep=keep)
+            assert sorted((r.doc_id, r.n_dropped) for r in out.collect()) == [(i, 2 if i or keep == "none" else 1) for i in range(40)]
+            assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert asked == []
