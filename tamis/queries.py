@@ -365,7 +365,7 @@ def removal_percentages(spark, d):
 def csv_documents(spark, d):
     """The documents, written as CSV and loaded again."""
     path = scratch(spark)
-    spark.read.parquet(f"{d}/documents.parquet").write.csv(path, header=True, escape='"')
+    csv_files.write(spark.read.parquet(f"{d}/documents.parquet"), path)
     back = csv_files.documents(spark, path, "text", "doc_id", ["lang", "source"])
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.char_length("text").alias("chars"), F.md5("text").alias("md5"), F.col("metadata")["lang"].alias("lang"))
 
@@ -374,7 +374,7 @@ def csv_ground_truth(spark, d):
     """The answers, written as a ground-truth CSV and loaded again."""
     path = scratch(spark)
     lists = _qrels(spark, d).groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list("doc_id")), ", ").alias("relevant_doc_ids"))
-    _asked(spark, d).join(lists, "query_id", "left").write.csv(path, header=True, escape='"')
+    csv_files.write(_asked(spark, d).join(lists, "query_id", "left"), path)
     _, truth = csv_files.ground_truth(spark, path, id_column="query_id")
     return truth.select(F.col("query_id").cast("long").alias("query_id"), F.col("doc_id").cast("long").alias("doc_id"))
 

@@ -9,7 +9,12 @@ _TRIM = r"(?U)^\s+|\s+$"
 
 
 def read(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding=encoding)
+    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', charToEscapeQuoteEscaping='"', encoding=encoding)
+
+
+def write(df: DataFrame, path: str) -> None:
+    """A CSV folder that read() gives back as it was: blanks at the ends of a value stay, and so does a zero byte before a quote."""
+    df.write.csv(path, header=True, escape='"', charToEscapeQuoteEscaping='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def columns(spark: SparkSession, path: str) -> list[str]:

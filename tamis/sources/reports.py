@@ -50,8 +50,9 @@ def as_html(title: str, sections: dict[str, list[dict] | str], first: int = 10)
 def removed_csv(docs, decisions, path: str, most: int = 100) -> None:
     """A CSV folder of doc_id, text (its first `most` characters) and the true reason of what cleaning removed."""
     from ..operators import clean
+    from . import csv_files
 
-    clean.removed(docs.select("doc_id", "text"), decisions).selectExpr("doc_id", f"substring(text, 1, {most}) AS text", "reason").write.csv(path, header=True, escape='"')
+    csv_files.write(clean.removed(docs.select("doc_id", "text"), decisions).selectExpr("doc_id", f"substring(text, 1, {most}) AS text", "reason"), path)
 
 
 def percentages(stats, decisions):

@@ -231,6 +231,15 @@ def test_removed_documents_and_percentages(spark, tmp_path):
     assert r.documents == 3 and round(r.retained_percent, 2) == 33.33 and round(r.issue_percent, 2) == 66.67
 
 
+def test_csv_files_give_back_what_was_written(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    odd = ["a ", " a", "\ta\t", "a\r", "\ra", "a\r\nb", "a\nb\n", "\n", " ", '"', 'a"', '"a"', 'a""b', "\\", 'a\\"', ",", "a\x00", 'a\x00"b', "\x01", "x\x1f", "\u3000x ", '","', '"\n"']
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    reports.removed_csv(docs, docs.select("doc_id", F.lit("too_short").alias("reason")), str(tmp_path / "gone"))
+    assert {int(r.doc_id): r.text for r in csv_files.read(spark, str(tmp_path / "gone")).collect()} == dict(enumerate(odd))
+
+
 def test_summary_of_metrics(spark):
     from tamis.operators import metrics
 
