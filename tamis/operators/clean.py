@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.storage import written
+from ..plans.storage import without, written
 from ..settings import DEFAULTS, Settings
 from . import quality
 
@@ -76,7 +76,7 @@ def filter_by_quality_score(docs: DataFrame, stats: DataFrame, least: float = 0.
 
 
 def kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    return docs.join(decisions.where("reason is not null").select("doc_id"), "doc_id", "left_anti")
+    return without(docs, decisions.where("reason is not null"))
 
 
 def removed(docs: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import diagnose, embed, metrics, retrieval
-from .storage import written
+from .storage import without, written
 
 MODES = ("dense", "bm25", "hybrid")
 
@@ -23,8 +23,8 @@ class Corpus:
 
     def without(self, decisions: DataFrame, name: str = "cleaned") -> Corpus:
         """The kept documents; their vectors are taken over, not made again."""
-        gone = decisions.where("reason is not null").select("doc_id")
-        left = lambda x: None if x is None else x.join(gone, "doc_id", "left_anti")
+        gone = written(decisions.where("reason is not null").select("doc_id"))
+        left = lambda x: None if x is None else without(x, gone)
         return Corpus(name, left(self.docs), left(self.vectors))
 
 
@@ -48,18 +48,29 @@ def retrieve(corpus: Corpus, queries: DataFrame, mode: str = "dense", k: int = 1
         lists.append(retrieval.bm25_topk(corpus.docs, queries, n))
     hits = lists[0] if len(lists) == 1 else retrieval.fuse(lists, n)
     if rerank:
-        hits = retrieval.rerank(hits, queries, corpus.docs, k).select("query_id", "rank", "doc_id", "score")
+        hits = _reranked(hits, corpus, queries, k)
     return hits.where(F.col("rank") <= k)
 
 
+def _reranked(hits: DataFrame, corpus: Corpus, queries: DataFrame, k: int) -> DataFrame:
+    return retrieval.rerank(hits, queries, corpus.docs, k).select("query_id", "rank", "doc_id", "score")
+
+
 def arms(corpora: list[Corpus], queries: DataFrame, qrels: DataFrame, modes=("dense", "hybrid"), k: int = 10, candidates: int = 50, provider: embed.Provider | None = None) -> DataFrame:
     """corpus, mode, rerank, query_id and the metrics of every arm, against the answers that the corpus still has."""
     out = None
     for c in corpora:
-        truth = diagnose.present_qrels(qrels, c.docs)
+        truth = written(diagnose.present_qrels(qrels, c.docs))
         for mode in modes:
+            # a single list of n hits begins with that of fewer, so both arms can share it; a fused one does not
+            n = max(k, candidates)
+            shared = None if mode == "hybrid" else written(retrieve(c, queries, mode, n, n, False, provider))
             for rerank in (False, True):
-                hits = retrieve(c, queries, mode, k, candidates if rerank else k, rerank, provider)
+                if shared is None:
+                    hits = retrieve(c, queries, mode, k, candidates if rerank else k, rerank, provider)
+                else:
+                    hits = shared.where(F.col("rank") <= (candidates if rerank else k))
+                    hits = _reranked(hits, c, queries, k) if rerank else hits
                 part = metrics.per_query(hits, truth, queries, k)
                 part = part.select(F.lit(c.name).alias("corpus"), F.lit(mode).alias("mode"), F.lit(rerank).alias("rerank"), "query_id", *metrics.METRICS)
                 out = part if out is None else out.unionAll(part)

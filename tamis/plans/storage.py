@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
@@ -26,6 +27,25 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are sent to every executor at most.
+IDS = 1_000_000
+
+
+def _met(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    ids = written(ids.select("doc_id"))
+    return rows.join(F.broadcast(ids) if ids.count() <= IDS else ids, "doc_id", how)
+
+
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id ids has. Up to IDS ids go to the rows, so texts stay where they lie; beyond, both are shuffled."""
+    return _met(rows, ids, "left_semi")
+
+
+def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id ids doesn't have, as only() does it."""
+    return _met(rows, ids, "left_anti")
+
+
 def drop(*tables: DataFrame) -> None:
     """Removes the files of written() tables that nothing reads any more."""
     for df in tables:

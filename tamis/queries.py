@@ -218,7 +218,7 @@ def bm25_tokens(spark, d):
 
 def postings_stats(spark, d):
     docs = _docs(spark, d)
-    return _rounded(retrieval.term_statistics(written(retrieval.tokenised(docs))))
+    return _rounded(retrieval.term_statistics(docs))
 
 
 def bm25_topk(spark, d):

@@ -1,8 +1,11 @@
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
+from tamis.functions import text as T
 from tamis.operators import diagnose, metrics, retrieval
 
 HITS, QRELS = "query_id string, rank int, doc_id string, score double", "query_id string, doc_id string"
@@ -106,3 +109,48 @@ def test_wrong_arguments(spark):
         evaluate.retrieve(evaluate.Corpus("x", spark.range(1)), asked(spark, "q"), "sparse")
     with pytest.raises(ValueError):
         evaluate.retrieve(evaluate.Corpus("x", spark.range(1)), asked(spark, "q"), "dense")
+
+
+def test_search_tokens_in_python_equal_the_column(spark):
+    odd = ["The cat, the-CAT 42", None, "", "한국어 문서입니다 a1한글b 가", "K İ ß Ⅷ ² É é x", "a\u0000b\tc\n", "가나", "...", "ŞAŞ naïve 日本 x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string")
+    for r in df.select("t", T.search_tokens(T.text_of("t")).alias("w")).collect():
+        assert [x.decode() for x in T.python_search_tokens(r.t)] == r.w
+
+
+@pytest.mark.parametrize("zero_scores", [True, False])
+def test_bm25_equals_its_definition_and_writes_no_row_for_a_query_and_a_document(spark, monkeypatch, zero_scores):
+    rng, sizes = random.Random(3), []
+    words = [f"w{i}" for i in range(60)]
+    docs = [(f"d{i:03d}", " ".join(rng.choices(words[: 5 if i % 3 else 60], k=rng.randrange(0, 30)))) for i in range(200)] + [("e", None)]
+    asked = [(q, " ".join(rng.choices(words, k=4)) if q % 5 else " ".join(words[:2] * 2) if q else "nothing") for q in range(20)]
+    real = retrieval.written
+    monkeypatch.setattr(retrieval, "written", lambda df: sizes.append((out := real(df)).count()) or out)
+    monkeypatch.setattr(retrieval, "QUERIES", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        got = retrieval.bm25_topk(spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(asked, "query_id int, query string"), 5, zero_scores).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(sizes) < 200  # before, 201 token lists and thousands of scores
+
+    own = {i: (t or "").split() for i, t in docs}
+    df = Counter(w for t in own.values() for w in set(t))
+    raw = {w: math.log(len(own) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
+    mean = sum(map(len, own.values())) / len(own)
+    want = set()
+    for q, text in asked:
+        scored = [(-round(sum(idf.get(w, 0) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in text.split()), 6), i) for i, t in own.items() if zero_scores or set(t) & set(text.split())]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scored)[:5])}
+    assert {(r.query_id, r["rank"], r.doc_id, r.score) for r in got} == want
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_rows_meet_few_or_many_ids(spark, monkeypatch, most):
+    from tamis.plans import storage
+
+    monkeypatch.setattr(storage, "IDS", most)
+    rows, ids = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "doc_id int, text string"), spark.createDataFrame([(2,), (2,), (None,)], "doc_id int")
+    assert [r.text for r in storage.only(rows, ids).collect()] == ["b"]
+    assert {r.text for r in storage.without(rows, ids).collect()} == {"a", "c"}
