@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,20 @@ class Chunker:
         return {"fixed": self.fixed, "sentence": self.sentences, "paragraph": self.paragraphs}[strategy](text)
 
 
+#: Bytes of text that a worker cuts at a time, at least one document.
+PIECE = 1 << 20
+
+
+def _pieces(batch: pa.RecordBatch):
+    """The rows of a batch (doc_id, text) in slices of about PIECE bytes of text: a batch may hold 10,000 large pages."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PIECE, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def chunk(docs: DataFrame, strategy: str = "sentence", chunker: Chunker | None = None) -> DataFrame:
     """chunk_id, doc_id, chunk_index, total_chunks, chunk_strategy, text. Chunks under `least` go after they are numbered, so numbers have gaps."""
     if strategy not in STRATEGIES:
@@ -73,9 +89,10 @@ def chunk(docs: DataFrame, strategy: str = "sentence", chunker: Chunker | None =
     c = chunker or Chunker()
 
     def run(batches):
-        for b in batches:
-            made = [c.chunks(x.as_py() or "", strategy) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.string()))], names=["doc_id", "chunks"])
+        for whole in batches:
+            for b in _pieces(whole):
+                made = [c.chunks(x.as_py() or "", strategy) for x in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.string()))], names=["doc_id", "chunks"])
 
     own = docs.select("doc_id", "text")
     cut = own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, chunks array<string>")

@@ -24,6 +24,16 @@ def test_sentences_and_paragraphs():
     assert c.paragraphs("x" * 30 + "\n\n" + "y" * 30) == ["x" * 30, "y" * 30]
 
 
+def test_large_batches_are_cut_piece_by_piece(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(chunk, "PIECE", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 4, None, "b" * 5, "c" * 30, "", "d"])], names=["doc_id", "text"])
+    parts = list(chunk._pieces(batch))
+    assert [p.num_rows for p in parts] == [3, 1, 2] and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert list(chunk._pieces(batch.slice(0, 0))) == []
+
+
 def test_chunk_numbers_have_gaps(spark):
     docs = spark.createDataFrame([(1, "Short one. " + "x" * 600 + ". End."), (2, None)], "doc_id long, text string")
     rows = chunk.chunk(docs, "sentence").orderBy("chunk_index").collect()
