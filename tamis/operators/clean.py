@@ -20,7 +20,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     aggregation, so a form that a third of all documents share is one row per task.
     """
     form = T.normal_form(T.text_of("text"))
-    own = docs.select("doc_id", F.xxhash64(form).alias("h"), F.xxhash64(F.lit(1), form).alias("g"))
+    own = written(docs.select("doc_id", F.xxhash64(form).alias("h"), F.xxhash64(F.lit(1), form).alias("g")))  # else the forms are made twice
     first = own.groupBy("h", "g").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
     return own.join(first.drop("n"), ["h", "g"]).where("doc_id <> first_id").select("doc_id", "first_id")
 
