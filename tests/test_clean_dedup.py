@@ -89,3 +89,76 @@ def test_providers():
     assert embed.SentenceModel().duplicate_threshold == 0.985
     with pytest.raises(ValueError):
         embed.provider("none")
+
+
+def test_jaccard_equals_brute_force_in_groups_and_out_of_them(spark, monkeypatch):
+    import random
+
+    rng, docs = random.Random(5), []
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(400)]
+    for size, copies in ((150, 24), (60, 10), (12, 6), (1, 5), (400, 3)):
+        base = rng.choices(words, k=size)
+        for _ in range(copies):
+            docs.append(" ".join(rng.choice(words) if rng.random() < 0.04 else w for w in base))
+    docs += [" ".join(rng.choices(words, k=rng.randrange(0, 90))) for _ in range(40)] + [docs[0], docs[0], None, "", "x"]
+    rng.shuffle(docs)
+    frame, tables, real = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), [], dedup.written
+    monkeypatch.setattr(dedup, "written", lambda df: tables.append(real(df)) or tables[-1])
+    monkeypatch.setattr(dedup, "FEW", 4)
+    monkeypatch.setattr(dedup, "BLOCK", 8)
+
+    own = {}
+    for i, t in enumerate(docs):
+        own.setdefault(t or "", []).append(i)
+    sets = {o[0]: set(dedup.shingle_hashes(t, 4).tolist()) for t, o in own.items()}
+    copies = {o[0]: len(o) for o in own.values()}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] and sets[b]}
+    want = {p: x for p, x in want.items() if x >= 0.7}
+    assert len(want) > 100
+    rows = dedup.jaccard_pairs(frame, 0.7).collect()
+    assert {(r.a, r.b): r.score for r in rows} == want and len(rows) == len(want)
+    assert not any("shingles" in t.columns for t in tables)  # before, all shingles were written, and shuffled for each candidate
+
+    linked = {}
+    for a, b in want:
+        linked[a], linked[b] = linked.get(a, 0) + copies[b], linked.get(b, 0) + copies[a]
+    assert {r.rep: r.linked for r in dedup.jaccard_degrees(frame, 0.7).collect()} == linked
+
+    def parts(pairs):
+        root = {i: i for i in sets}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return {i: find(i) for i in sets}
+
+    links = [(r.a, r.b) for r in dedup.jaccard_links(frame, 0.7).collect()]
+    assert parts(links) == parts(want) and set(links) <= set(want)
+
+
+def test_least_hashes_agree_as_sets_do():
+    rng = np.random.default_rng(1)
+    for n, more in ((6, 1), (40, 10), (3000, 750)):
+        agree = []
+        for _ in range(30):
+            h = rng.integers(0, 1 << 63, n + 2 * more, dtype=np.uint64)
+            agree.append((dedup._least_hashes(h[:-more], 1280) == dedup._least_hashes(h[more:], 1280)).mean())
+        assert abs(np.mean(agree) - n / (n + 2 * more)) < 0.05
+    assert (1 - 0.8**13) ** dedup.least_bands(0.8, 13) <= dedup.MISSED
+
+
+def test_marks_never_rule_out_a_similar_pair(spark):
+    rng = np.random.default_rng(2)
+    texts = {i: "".join(rng.choice(list("abcdefgh "), 40 + 37 * (i // 2))) for i in range(60)}
+    for i in range(1, 60, 2):
+        texts[i] = texts[i - 1][: -(len(texts[i - 1]) // 12)]
+    marks = dedup._parity(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 4)
+    a, b = (marks.selectExpr(f"doc_id AS {i}", f"mark AS _{i}", f"size AS _n{i}") for i in "ab")
+    sets = {i: set(dedup.shingle_hashes(t, 4).tolist()) for i, t in texts.items()}
+    left = {(r.a, r.b) for r in dedup._may_be_similar(a.join(b, on=a.a < b.b).select("a", "b", "_a", "_b", "_na", "_nb"), 0.8, "long").collect()}
+    right = {(x, y) for x in texts for y in texts if x < y and len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= 0.8}
+    assert len(right) > 25 and right <= left and len(left) < 600
